@@ -17,11 +17,6 @@ from pyspark.sql import types as T
 
 from shelfmark import schemas
 
-_COMMITS = T.StructType.fromDDL(
-    "version BIGINT, path STRING, batch_id STRING, buckets INT, committed_at TIMESTAMP"
-)
-
-
 class EventLog:
     """Append-only rows of one schema."""
 
@@ -59,7 +54,7 @@ class IndexStore:
 
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType = schemas.INDEX, buckets: int | None = None):
         self.spark, self.root, self.schema, self.buckets = spark, root.rstrip("/"), schema, buckets
-        self.commits = EventLog(spark, f"{self.root}/commits", _COMMITS)
+        self.commits = EventLog(spark, f"{self.root}/commits", schemas.COMMITS)
 
     def _last(self):
         return self.commits.read().orderBy(F.col("version").desc()).limit(1).first()
@@ -107,7 +102,7 @@ class IndexStore:
         else:
             rows.write.parquet(path)
         commit = [(version, path, batch_id, self.buckets, as_of)]
-        self.commits.append(self.spark.createDataFrame(commit, _COMMITS))
+        self.commits.append(self.spark.createDataFrame(commit, schemas.COMMITS))
         return version
 
 

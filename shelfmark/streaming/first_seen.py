@@ -3,18 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
+from shelfmark import schemas
 from shelfmark.operators import dedup
 
-HITS = T.StructType.fromDDL(
-    """seen_at TIMESTAMP, query_idx INT, page INT, pos BIGINT, repo_full_name STRING, skill_path STRING,
-    html_url STRING, api_url STRING"""
-)
-
-
 def hit_stream(spark: SparkSession, landing_dir: str) -> DataFrame:
-    return spark.readStream.schema(HITS).json(landing_dir)
+    return spark.readStream.schema(schemas.HITS).json(landing_dir)
 
 
 def first_seen_stream(hits: DataFrame, remember: str = "30 days") -> DataFrame:

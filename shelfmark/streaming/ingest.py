@@ -7,7 +7,6 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfmark import schemas
@@ -17,14 +16,6 @@ from shelfmark.plans.records import CANDIDATE_COLUMNS, build_records, saved_reco
 from shelfmark.sources import landing
 from shelfmark.sources.index_store import IndexStore
 
-# A fetched file as it lands: the candidate it answers and the raw response.
-FETCHED = T.StructType.fromDDL(
-    """seq BIGINT, repo_full_name STRING, skill_path STRING, skill_html_url STRING, skill_api_url STRING,
-    repo_owner STRING, repo_url STRING, default_branch STRING, source_type STRING,
-    status_code INT, body STRING, etag STRING, last_modified STRING, payload STRING"""
-)
-
-
 def merge_fetched(
     store: IndexStore,
     fetched: DataFrame,
@@ -64,7 +55,7 @@ def ingest(
     The batch number is committed with the version, so a batch that is replayed
     after a crash between merge and checkpoint changes nothing.
     """
-    reader = spark.readStream.schema(FETCHED)
+    reader = spark.readStream.schema(schemas.FETCHED)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
 
