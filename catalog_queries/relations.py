@@ -6,10 +6,11 @@ from catalog_queries import landed
 from catalog_queries import sqltext as q
 from catalog_queries.landing import KEPT_HITS
 from catalog_queries.registry import bits, query
+from catalog_queries.scalars import REFERENCE
 from shelfmark.functions import refs, risk
-from shelfmark.operators import counters, dedup, layout, ledger, merge, review
-from shelfmark.operators.skew import lookup_join
-from shelfmark.plans import records, scan, search, submit
+from shelfmark.operators import dedup, layout, ledger, merge, review
+from shelfmark.operators.skew import busy_keys, lookup_join
+from shelfmark.plans import scan, search, submit
 from shelfmark.sources import known_repos, landing, outcomes
 
 FLAG_BITS = ", ".join(f"CAST({f} AS INT) AS {f}" for f in layout.FLAGS)
@@ -23,8 +24,9 @@ FROM skill_files f LEFT JOIN repos r ON f.repo_full_name = r.repo_full_name""",
 )
 def _(i):
     files = i.skill_files.select("doc_id", "repo_full_name", "skill_path")
-    # at_least=1 salts every busy key, so the comparison covers the split path too
-    joined = lookup_join(files, i.repos, ["repo_full_name"], ["skill_path"], at_least=1)
+    # a low threshold, so that the comparison covers salted keys at any size
+    [busy] = busy_keys(files, ["repo_full_name"], at_least=4)
+    joined = lookup_join(files, i.repos, ["repo_full_name"], ["skill_path"], busy)
     return joined.select(
         "doc_id",
         F.coalesce("stars", F.lit(0)).alias("stars"),
@@ -94,9 +96,6 @@ def _(i):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-from catalog_queries.scalars import REFERENCE  # noqa: E402
-
-
 @query(
     "j6_submission_check",
     f"""WITH {REFERENCE}
@@ -104,10 +103,7 @@ SELECT page_id, CASE WHEN owner IS NULL THEN 'bad reference' WHEN owner || '/' |
 FROM parts""",
 )
 def _(i):
-    ref = refs.parse_reference(F.col("url"))
-    named = i.submissions.select(
-        "page_id", refs.full_name(ref.getField("owner"), ref.getField("repo")).alias("repo_full_name")
-    ).withColumn("repo_full_name", F.nullif("repo_full_name", F.lit("")))
+    named = i.submissions.select("page_id", refs.referenced_repo(F.col("url")).alias("repo_full_name"))
     known = i.repos.select("repo_full_name", F.lit(True).alias("known"))
     joined = lookup_join(named, known, ["repo_full_name"], ["page_id"])
     verdict = (
@@ -136,7 +132,7 @@ def _(i):
     files = landing.file_contents(landed.content_responses(i)).select(
         "api_url", outcomes.outcome(F.col("status_code"), F.col("body")).alias("outcome"), F.length("content").alias("n_chars")
     )
-    joined = lookup_join(candidates, files, ["api_url"], ["hit_key"], busy_from=i.search_hits.select("api_url"))
+    joined = lookup_join(candidates, files, ["api_url"], ["hit_key"])
     outcome = F.coalesce("outcome", F.lit("missing"))
     return joined.select(
         "hit_key", outcome.alias("outcome"), "n_chars",

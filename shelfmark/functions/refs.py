@@ -52,16 +52,17 @@ def is_manifest_path(path: Column) -> Column:
     return F.coalesce(reduce(Column.__or__, [path.endswith(s) for s in SUBMITTED_SUFFIXES]), F.lit(False))
 
 
+def _is_short(ref: Column) -> Column:
+    one_slash = F.length(ref) - F.length(F.replace(ref, F.lit("/"), F.lit(""))) == 1
+    return one_slash & ~F.contains(ref, F.lit("github.com"))
+
+
 def parse_reference(ref: Column) -> Column:
     """``owner/repo`` or a repository, tree or blob address to its parts; NULL otherwise."""
     r = strip(ref)
-    short = ~F.contains(r, F.lit("github.com")) & (F.length(r) - F.length(F.replace(r, F.lit("/"), F.lit(""))) == 1)
     no_text = F.lit(None).cast("string")
     as_short = F.struct(
-        F.split_part(r, F.lit("/"), F.lit(1)).alias("owner"),
-        F.split_part(r, F.lit("/"), F.lit(2)).alias("repo"),
-        no_text.alias("branch"),
-        no_text.alias("skill_path"),
+        repo_owner(r).alias("owner"), repo_name(r).alias("repo"), no_text.alias("branch"), no_text.alias("skill_path")
     )
     as_url = F.struct(
         F.regexp_extract(r, _REPO, 1).alias("owner"),
@@ -69,7 +70,20 @@ def parse_reference(ref: Column) -> Column:
         blank_to_null(F.regexp_extract(r, _FILE, 1)).alias("branch"),
         blank_to_null(F.regexp_extract(r, _FILE, 2)).alias("skill_path"),
     )
-    return F.when(short, as_short).when(r.rlike(_REPO), as_url)
+    return F.when(_is_short(r), as_short).when(r.rlike(_REPO), as_url)
+
+
+def referenced_repo(ref: Column) -> Column:
+    """``owner/repo`` of a reference in one step; NULL when unreadable or incomplete."""
+    r = strip(ref)
+    url_repo = F.regexp_extract(r, r"\Ahttps?://github\.com/([^/]+/[^/]+)", 1)
+    found = F.when(_is_short(r), F.regexp_extract(r, r"\A([^/]+/[^/]+)\z", 1)).otherwise(url_repo)
+    return blank_to_null(found)
+
+
+def referenced_path(ref: Column) -> Column:
+    """File path inside a tree or blob address, NULL without one."""
+    return blank_to_null(F.regexp_extract(strip(ref), _FILE, 2))
 
 
 def full_name(owner: Column, repo: Column) -> Column:

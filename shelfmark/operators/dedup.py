@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import blank_to_null
-from shelfmark.operators.skew import lookup_join
 
 ARRIVAL = ["query_idx", "page", "pos"]
 REQUIRED = ["repo_full_name", "skill_path", "api_url"]
@@ -56,8 +55,8 @@ def readable_pages(pages: DataFrame) -> DataFrame:
     """Pages before the first empty or failed page of their query."""
     bad = (F.col("n_items") == 0) | (~F.col("status_code").between(200, 299))
     stops = pages.filter(bad).groupBy("query_idx").agg(F.min("page").alias("stop_page"))
-    keys = pages.select("query_idx")
-    joined = lookup_join(pages, stops, ["query_idx"], ["page"], busy_from=keys)
+    # one row per configured search query, a list that the driver itself holds
+    joined = pages.join(F.broadcast(stops), "query_idx", "left")
     return joined.filter(F.col("stop_page").isNull() | (F.col("page") < F.col("stop_page"))).drop("stop_page")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.fixed_values import LAYOUT_DIRECTORIES
 from shelfmark.functions.refs import skill_dir
-from shelfmark.operators.skew import lookup_join
+from shelfmark.operators.skew import Busy, lookup_join
 
 FLAGS = list(LAYOUT_DIRECTORIES)
 _NAMES = [n for names in LAYOUT_DIRECTORIES.values() for n in names]
@@ -61,14 +61,13 @@ def counts_from_tree(tree: DataFrame) -> DataFrame:
     return known_children(tree).groupBy("repo_full_name", "dir").agg(*_flag_aggregates(F.col("child")), *counts)
 
 
-def attach_flags(files: DataFrame, flags: DataFrame, busy_from: DataFrame | None = None) -> DataFrame:
+def place(files: DataFrame) -> DataFrame:
+    """Add ``dir``, the directory whose flags a file gets; NULL at the repository root."""
+    folder = skill_dir(F.col("skill_path"))
+    return files.withColumn("dir", F.when(folder != "", F.rtrim(folder, F.lit("/"))))
+
+
+def attach_flags(files: DataFrame, flags: DataFrame, busy: Busy = Busy()) -> DataFrame:
     """Files with the flags of their directory; a file at the repository root has none."""
-    placed = files.withColumn("_dir", skill_dir(F.col("skill_path")))
-    # a file at the root has an empty directory and is never matched
-    key = F.when(F.col("_dir") != "", F.rtrim(F.col("_dir"), F.lit("/")))
-    keyed = placed.withColumn("dir", key)
-    busy = keyed if busy_from is None else busy_from.select(
-        "repo_full_name", F.rtrim(skill_dir(F.col("skill_path")), F.lit("/")).alias("dir")
-    )
-    joined = lookup_join(keyed, flags, ["repo_full_name", "dir"], ["skill_path"], busy_from=busy)
-    return joined.withColumns({f: F.coalesce(f, F.lit(False)) for f in FLAGS}).drop("_dir", "dir")
+    joined = lookup_join(place(files), flags, ["repo_full_name", "dir"], ["skill_path"], busy)
+    return joined.withColumns({f: F.coalesce(f, F.lit(False)) for f in FLAGS}).drop("dir")

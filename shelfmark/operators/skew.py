@@ -2,54 +2,71 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key outside the N busiest holds at most 1/(N+1) of the rows, whatever the data.
-BUSIEST = 1024
-SPLITS = 64
+# A key with fewer rows than this is no burden for one task.
+BUSY_ROWS = 200_000
+# A key that escapes the sketch holds less than about 1/TRACKED of the rows.
+LISTED, TRACKED = 1_000, 10_000
+MOST_SPLITS = 4_096
+
+
+@dataclass(frozen=True)
+class Busy:
+    """Busy values of a join key, and over how many tasks each has to be spread."""
+
+    values: tuple[str, ...] = ()
+    spread_nulls: bool = False
+    splits: int = 1
+
+
+def _marker(keys: list[str]) -> Column:
+    """The key as one text, NULL when a part of it is."""
+    first, *others = [F.col(k).cast("string") for k in keys]
+    return F.concat(first, *[F.concat(F.lit("\x1f"), part) for part in others])
 
 
-def busiest_keys(df: DataFrame, keys: list[str], n: int = BUSIEST, at_least: int = 100_000) -> DataFrame:
-    """The at most ``n`` keys with most rows (and no fewer than ``at_least``).
+def busy_keys(df: DataFrame, *key_sets: list[str], at_least: int = BUSY_ROWS) -> list[Busy]:
+    """Busy values of each key set, from one pass over ``df``.
 
-    Counts are combined before the shuffle and the top is taken per partition,
-    so the result is small by construction and safe to broadcast.
+    A frequent-items sketch per key set: every task sends a bounded summary, no
+    key is shuffled, and at most ``LISTED`` values per set reach the driver.  The
+    counts are estimates, which is enough because they only decide how rows are
+    spread, never what a join returns.
     """
-    counts = df.groupBy(*keys).count().filter(F.col("count") >= at_least)
-    return counts.orderBy(F.col("count").desc(), *keys).limit(n).select(*keys)
+    aggs = []
+    for n, keys in enumerate(key_sets):
+        aggs.append(F.expr(f"approx_top_k(_k{n}, {LISTED}, {TRACKED})").alias(f"top{n}"))
+        aggs.append(F.count_if(F.col(f"_k{n}").isNull()).alias(f"nulls{n}"))
+    row = df.select(*[_marker(keys).alias(f"_k{n}") for n, keys in enumerate(key_sets)]).agg(*aggs).first()
+    found = []
+    for n in range(len(key_sets)):
+        top = [(r["item"], r["count"]) for r in row[f"top{n}"] or [] if r["item"] is not None and r["count"] >= at_least]
+        nulls = row[f"nulls{n}"]
+        most = max([count for _, count in top] + [nulls])
+        splits = min(MOST_SPLITS, max(2, -(-most // at_least)))
+        found.append(Busy(tuple(item for item, _ in top), nulls >= at_least, splits))
+    return found
 
 
 def lookup_join(
-    facts: DataFrame,
-    lookup: DataFrame,
-    keys: list[str],
-    spread_on: list[str],
-    how: str = "left",
-    busy_from: DataFrame | None = None,
-    splits: int = SPLITS,
-    at_least: int = 100_000,
+    facts: DataFrame, lookup: DataFrame, keys: list[str], spread_on: list[str], busy: Busy = Busy(), how: str = "left"
 ) -> DataFrame:
-    """Join facts to a table with one row per key; busy keys are split over many tasks.
+    """Join facts to a table with one row per key.
 
-    ``busy_from`` is a cheap frame with the key columns in the same proportions as
-    ``facts`` (default: ``facts`` itself).  Rows of a busy key get a salt from
-    ``spread_on`` and meet one copy of the lookup row per salt; rows without a key
-    match nothing and are spread the same way.  The result is that of the plain join.
+    Rows of a busy key get a salt from ``spread_on`` and meet one copy of the lookup
+    row per salt; rows without a key match nothing and are spread the same way.  The
+    result is that of the plain join, which is what runs when nothing is busy.
     """
-    source = facts if busy_from is None else busy_from
-    busy = F.broadcast(
-        busiest_keys(source.select(*keys).na.drop(), keys, at_least=at_least).withColumn("_busy", F.lit(True))
-    )
-    no_key = F.lit(False)
-    for k in keys:
-        no_key = no_key | F.col(k).isNull()
-    salt = F.pmod(F.xxhash64(*spread_on), F.lit(splits)).cast("int")
-    left = (
-        facts.join(busy, keys, "left")
-        .withColumn("_salt", F.when(F.col("_busy") | no_key, salt).otherwise(F.lit(0)))
-        .drop("_busy")
-    )
-    copies = F.when(F.col("_busy"), F.sequence(F.lit(0), F.lit(splits - 1))).otherwise(F.array(F.lit(0)))
-    right = lookup.join(busy, keys, "left").withColumn("_salt", F.explode(copies)).drop("_busy")
+    if not busy.values and not busy.spread_nulls:
+        return facts.join(lookup, keys, how)
+    marker = _marker(keys)
+    is_busy = marker.isin(*busy.values) if busy.values else F.lit(False)
+    salt = F.pmod(F.xxhash64(*spread_on), F.lit(busy.splits)).cast("int")
+    left = facts.withColumn("_salt", F.when(F.coalesce(is_busy, F.lit(True)), salt).otherwise(F.lit(0)))
+    copies = F.when(is_busy, F.sequence(F.lit(0), F.lit(busy.splits - 1))).otherwise(F.array(F.lit(0)))
+    right = lookup.withColumn("_salt", F.explode(copies))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")

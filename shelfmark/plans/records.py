@@ -14,8 +14,8 @@ from shelfmark.functions import refs
 from shelfmark.functions.coerce import flag01, to_record
 from shelfmark.functions.frontmatter import parse_metadata
 from shelfmark.functions.risk import DEFAULT_RULES, content_flags, risk_flags, risk_level
-from shelfmark.operators.layout import attach_flags
-from shelfmark.operators.skew import lookup_join
+from shelfmark.operators.layout import attach_flags, place
+from shelfmark.operators.skew import Busy, busy_keys, lookup_join
 from shelfmark.sources.outcomes import outcome
 
 CANDIDATE_COLUMNS = [
@@ -39,6 +39,12 @@ def parse_contents(contents: DataFrame, rules=DEFAULT_RULES) -> DataFrame:
     )
 
 
+def busy_candidates(keys: DataFrame) -> tuple[Busy, ...]:
+    """Busy join keys of candidates, from any cheap frame with their keys in like proportions."""
+    placed = place(keys.select("repo_full_name", "skill_path", "skill_api_url"))
+    return tuple(busy_keys(placed, ["skill_api_url"], ["repo_full_name"], ["repo_full_name", "dir"]))
+
+
 def build_records(
     candidates: DataFrame,
     contents: DataFrame,
@@ -46,24 +52,24 @@ def build_records(
     layout: DataFrame,
     as_of: Column,
     rules=DEFAULT_RULES,
-    busy_from: DataFrame | None = None,
+    busy: tuple[Busy, Busy, Busy] | None = None,
 ) -> DataFrame:
     """One row per candidate: the record, its ``disposition`` and its four counts.
 
-    ``layout`` holds flags per (repository, directory).  ``busy_from`` is a cheap
-    frame with the keys of the candidates.  Extra candidate columns pass through;
+    ``layout`` holds flags per (repository, directory).  ``busy`` comes from
+    ``busy_candidates``; without it the joins are plain and adaptive execution alone
+    deals with uneven keys.  Extra candidate columns pass through;
     ``n_requests`` weighs a candidate that stands for several requests and
     ``n_repeats`` adds duplicates that were dropped in its favour.
     """
-    keys = (candidates if busy_from is None else busy_from).select("repo_full_name", "skill_path", "skill_api_url")
+    by_file, by_repo, by_dir = busy or (Busy(), Busy(), Busy())
     extra = [c for c in candidates.columns if c not in CANDIDATE_COLUMNS]
     stats = repos.withColumn("_known", F.lit(True))
 
-    files = lookup_join(
-        candidates, parse_contents(contents, rules), ["skill_api_url"], ["repo_full_name", "skill_path"], busy_from=keys
-    )
-    files = lookup_join(files, stats, ["repo_full_name"], ["skill_path", "skill_api_url"], busy_from=keys)
-    files = attach_flags(files, layout, busy_from=keys)
+    parsed = parse_contents(contents, rules)
+    files = lookup_join(candidates, parsed, ["skill_api_url"], ["repo_full_name", "skill_path"], by_file)
+    files = lookup_join(files, stats, ["repo_full_name"], ["skill_path", "skill_api_url"], by_repo)
+    files = attach_flags(files, layout, by_dir)
 
     fetched = F.coalesce(F.col("outcome"), F.lit("missing"))
     disposition = (

@@ -10,7 +10,7 @@ from shelfmark.functions.risk import DEFAULT_RULES, risk_flags, risk_level
 from shelfmark.operators import review
 from shelfmark.operators.layout import FLAGS, attach_flags
 from shelfmark.operators.skew import lookup_join
-from shelfmark.plans.records import parse_contents
+from shelfmark.plans.records import busy_candidates, parse_contents
 
 _META = ["name", "description", "license", "compatibility", "frontmatter_json"]
 _FILE = ["skill_sha", "skill_size", "skill_etag", "skill_last_modified"]
@@ -35,11 +35,11 @@ def plan_refresh(
         "id", "repo_full_name", "skill_path", "skill_api_url",
         F.col("skill_etag").alias("_etag"), *[F.col(c).alias(f"_old_{c}") for c in _STATS],
     )
-    keys = due.select("repo_full_name", "skill_path", "skill_api_url")
-    files = lookup_join(old, parse_contents(contents, rules), ["skill_api_url"], ["id"], busy_from=keys)
+    by_file, by_repo, by_dir = busy_candidates(due)
+    files = lookup_join(old, parse_contents(contents, rules), ["skill_api_url"], ["id"], by_file)
     stats = repos.select("repo_full_name", *_STATS, "archived", F.lit(True).alias("_stats"))
-    files = lookup_join(files, stats, ["repo_full_name"], ["id"], busy_from=keys)
-    files = attach_flags(files, layout, busy_from=keys)
+    files = lookup_join(files, stats, ["repo_full_name"], ["id"], by_repo)
+    files = attach_flags(files, layout, by_dir)
 
     same = F.coalesce(F.col("skill_etag") == F.col("_etag"), F.lit(False))
     effect = (

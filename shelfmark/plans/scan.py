@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import refs
 from shelfmark.functions.risk import DEFAULT_RULES
-from shelfmark.operators.skew import lookup_join
-from shelfmark.plans.records import build_records
+from shelfmark.operators.skew import Busy, lookup_join
+from shelfmark.plans.records import build_records, busy_candidates
 
 SOURCE = "trusted_repo"
 
@@ -31,11 +31,11 @@ def with_addresses(files: DataFrame, source_type: str) -> DataFrame:
     )
 
 
-def scan_candidates(tree: DataFrame, scope: DataFrame, repos: DataFrame) -> DataFrame:
+def scan_candidates(tree: DataFrame, scope: DataFrame, repos: DataFrame, busy: Busy = Busy()) -> DataFrame:
     """Manifest files of the repositories in scope; a repository without statistics is passed over."""
     readable = scope.join(repos.select("repo_full_name", F.col("repo_default_branch").alias("default_branch")), "repo_full_name")
     blobs = manifest_blobs(tree).select("repo_full_name", F.col("path").alias("skill_path"))
-    files = lookup_join(blobs, readable, ["repo_full_name"], ["skill_path"], how="inner")
+    files = lookup_join(blobs, readable, ["repo_full_name"], ["skill_path"], busy, how="inner")
     return with_addresses(files, SOURCE)
 
 
@@ -48,5 +48,7 @@ def scan_dispositions(
     as_of: Column,
     rules=DEFAULT_RULES,
 ) -> DataFrame:
-    files = scan_candidates(tree, scope, repos)
-    return build_records(files, contents, repos, layout, as_of, rules)
+    blobs = manifest_blobs(tree).select("repo_full_name", F.col("path").alias("skill_path"))
+    busy = busy_candidates(with_addresses(blobs.withColumn("default_branch", F.lit("")), SOURCE))
+    files = scan_candidates(tree, scope, repos, busy[1])
+    return build_records(files, contents, repos, layout, as_of, rules, busy)

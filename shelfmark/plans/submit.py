@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from shelfmark.functions import refs
 from shelfmark.functions.risk import DEFAULT_RULES
 from shelfmark.functions.text import blank_to_null
-from shelfmark.operators.skew import lookup_join
-from shelfmark.plans.records import build_records, count_only
+from shelfmark.operators.skew import Busy, busy_keys, lookup_join
+from shelfmark.plans.records import build_records, busy_candidates, count_only
 from shelfmark.plans.scan import manifest_blobs, with_addresses
+from shelfmark.session import stage
 
 SOURCE = "user_submit"
 
@@ -22,23 +23,27 @@ def targets(submissions: DataFrame) -> DataFrame:
     and weighed by its number of submissions.  ``path`` is optional and wins over
     the path in the reference.  Unreadable references have no repository.
     """
-    ref = refs.parse_reference(F.col("url"))
+    url = F.col("url")
     given = blank_to_null(F.col("path")) if "path" in submissions.columns else F.lit(None).cast("string")
-    parsed = submissions.select(ref.alias("ref"), given.alias("given"))
-    named = parsed.select(
-        blank_to_null(refs.full_name(F.col("ref.owner"), F.col("ref.repo"))).alias("repo_full_name"),
-        F.when(F.col("ref").isNotNull(), F.coalesce("given", "ref.skill_path")).alias("skill_path"),
+    named = submissions.select(
+        refs.referenced_repo(url).alias("repo_full_name"), given.alias("given"), refs.referenced_path(url).alias("in_url")
+    ).select(
+        "repo_full_name",
+        F.when(F.col("repo_full_name").isNotNull(), F.coalesce("given", "in_url")).alias("skill_path"),
     )
     return named.groupBy("repo_full_name", "skill_path").agg(F.count("*").alias("n_requests"))
 
 
-def resolve(submitted: DataFrame, repos: DataFrame, tree: DataFrame, trees: DataFrame) -> tuple[DataFrame, DataFrame]:
+def resolve(
+    submitted: DataFrame, repos: DataFrame, tree: DataFrame, trees: DataFrame, busy: Busy = Busy(), busy_tree: Busy = Busy()
+) -> tuple[DataFrame, DataFrame]:
     """Split targets into candidate files and failures.
 
-    ``trees`` names the repositories whose tree could be read (it may be empty).
+    ``trees`` names the repositories whose tree could be read (it may be empty);
+    the two ``busy`` tell which repositories fill the targets and the trees.
     """
     known = repos.select("repo_full_name", F.col("repo_default_branch").alias("default_branch"))
-    checked = lookup_join(submitted, known, ["repo_full_name"], ["skill_path"])
+    checked = lookup_join(submitted, known, ["repo_full_name"], ["skill_path"], busy)
     exists = F.col("default_branch").isNotNull()
     has_path = F.col("skill_path").isNotNull()
 
@@ -49,7 +54,7 @@ def resolve(submitted: DataFrame, repos: DataFrame, tree: DataFrame, trees: Data
     # one row per repository, so the tree side can be split freely
     scanned = whole.filter(F.col("_tree")).select("repo_full_name", "default_branch", "n_requests")
     blobs = manifest_blobs(tree).select("repo_full_name", F.col("path").alias("skill_path"))
-    expanded = lookup_join(blobs, scanned, ["repo_full_name"], ["skill_path"], how="inner")
+    expanded = lookup_join(blobs, scanned, ["repo_full_name"], ["skill_path"], busy_tree, how="inner")
 
     columns = ["repo_full_name", "skill_path", "default_branch", "n_requests"]
     files = with_addresses(single.select(*columns).unionByName(expanded.select(*columns)), SOURCE)
@@ -71,7 +76,12 @@ def submit_dispositions(
     trees: DataFrame | None = None,
 ) -> DataFrame:
     read = tree.select("repo_full_name").distinct() if trees is None else trees
-    files, failures = resolve(targets(submissions), repos, tree, read)
-    built = build_records(files, contents, repos, layout, as_of, rules)
+    # Everything after the parse is as small as the distinct targets and the files they name.
+    asked = stage(targets(submissions), "targets")
+    [busy] = busy_keys(asked, ["repo_full_name"])
+    [busy_tree] = busy_keys(manifest_blobs(tree), ["repo_full_name"])
+    files, failures = resolve(asked, repos, tree, read, busy, busy_tree)
+    files = stage(files, "files")
+    built = build_records(files, contents, repos, layout, as_of, rules, busy_candidates(files))
     failed = failures.withColumn("source_type", F.lit(SOURCE))
     return built.unionByName(count_only(failed, built, "failed", failed=F.col("n_requests")))
