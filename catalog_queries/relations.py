@@ -11,6 +11,7 @@ from shelfmark.functions import refs, risk
 from shelfmark.operators import dedup, layout, ledger, merge, review
 from shelfmark.operators.skew import busy_keys, lookup_join
 from shelfmark.plans import scan, search, submit
+from shelfmark.session import stage
 from shelfmark.sources import known_repos, landing, outcomes
 
 FLAG_BITS = ", ".join(f"CAST({f} AS INT) AS {f}" for f in layout.FLAGS)
@@ -294,7 +295,7 @@ def _(i):
     tree, repos = i.tree_items, i.repos
     scope = known_repos.scan_scope(i.known_repos)
     read = tree.select("repo_full_name").distinct()
-    submitted, _ = submit.resolve(submit.targets(i.submissions), repos, tree, read)
+    submitted, _ = submit.resolve(stage(submit.targets(i.submissions), "targets"), repos, tree, read)
     routes = [
         search.candidates(i.search_hits.withColumns({"repo_owner": F.lit(""), "repo_url": F.lit(""), "default_branch": F.lit("main")})),
         scan.scan_candidates(tree, scope, repos),

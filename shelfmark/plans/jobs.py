@@ -13,7 +13,6 @@ from shelfmark import schemas
 from shelfmark.operators import counters, dedup, ledger, merge
 from shelfmark.plans import refresh
 from shelfmark.plans.records import saved_records
-from shelfmark.session import stage
 from shelfmark.sources.index_store import EventLog, IndexStore
 
 
@@ -53,7 +52,7 @@ class Run:
         now = F.lit(self.as_of)
 
         def work():
-            rows = stage(dispositions(), "dispositions")
+            rows = dispositions()
             records = saved_records(rows, arrival)
             if arrival:
                 records = dedup.last_wins(records, schemas.KEY, arrival)
@@ -70,7 +69,7 @@ class Run:
 
         def work():
             index = self.store.read()
-            changes = stage(refresh.plan_refresh(index, contents, repos, layout, limit), "changes")
+            changes = refresh.plan_refresh(index, contents, repos, layout, limit)
             self.store.publish(refresh.apply_refresh(index, changes, now), self.as_of)
             totals = counters.refresh_counters(changes).first().asDict()
             return totals, (totals["checked"], totals["updated"], totals["not_modified"])

@@ -56,6 +56,9 @@ def build_records(
 ) -> DataFrame:
     """One row per candidate: the record, its ``disposition`` and its four counts.
 
+    The callers stage the result before they filter or count it: a filter on the
+    disposition would otherwise be pushed below the parsing and repeat it.
+
     ``layout`` holds flags per (repository, directory).  ``busy`` comes from
     ``busy_candidates``; without it the joins are plain and adaptive execution alone
     deals with uneven keys.  Extra candidate columns pass through;

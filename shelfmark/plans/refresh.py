@@ -11,6 +11,7 @@ from shelfmark.operators import review
 from shelfmark.operators.layout import FLAGS, attach_flags
 from shelfmark.operators.skew import lookup_join
 from shelfmark.plans.records import busy_candidates, parse_contents
+from shelfmark.session import stage
 
 _META = ["name", "description", "license", "compatibility", "frontmatter_json"]
 _FILE = ["skill_sha", "skill_size", "skill_etag", "skill_last_modified"]
@@ -50,7 +51,7 @@ def plan_refresh(
         .otherwise("error")
     )
     flags = risk_flags(F.col("content_flags"), F.col("has_scripts"))
-    return files.select(
+    changes = files.select(
         "id",
         effect.alias("effect"),
         *[F.col(f"meta.{c}").alias(c) for c in _META],
@@ -62,6 +63,7 @@ def plan_refresh(
         flags.alias("risk_flags"),
         risk_level(flags).alias("risk_level"),
     )
+    return stage(changes, "changes")
 
 
 def apply_refresh(index: DataFrame, changes: DataFrame, as_of: Column) -> DataFrame:

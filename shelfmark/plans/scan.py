@@ -9,6 +9,7 @@ from shelfmark.functions import refs
 from shelfmark.functions.risk import DEFAULT_RULES
 from shelfmark.operators.skew import Busy, lookup_join
 from shelfmark.plans.records import build_records, busy_candidates
+from shelfmark.session import stage
 
 SOURCE = "trusted_repo"
 
@@ -51,4 +52,4 @@ def scan_dispositions(
     blobs = manifest_blobs(tree).select("repo_full_name", F.col("path").alias("skill_path"))
     busy = busy_candidates(with_addresses(blobs.withColumn("default_branch", F.lit("")), SOURCE))
     files = scan_candidates(tree, scope, repos, busy[1])
-    return build_records(files, contents, repos, layout, as_of, rules, busy)
+    return stage(build_records(files, contents, repos, layout, as_of, rules, busy), "dispositions")

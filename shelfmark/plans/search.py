@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions.risk import DEFAULT_RULES
 from shelfmark.operators import dedup
 from shelfmark.plans.records import build_records, busy_candidates, count_only
+from shelfmark.session import stage
 from shelfmark.sources import landing
 
 SOURCE = "github_search"
@@ -41,6 +42,5 @@ def search_dispositions(
     keys = hits.select("repo_full_name", "skill_path", F.col("api_url").alias("skill_api_url"))
     built = build_records(candidates(hits), contents, repos, layout, as_of, rules, busy_candidates(keys))
     rejected = hits.filter(~dedup.has_required_fields()).groupBy(F.lit(SOURCE).alias("source_type"))
-    return built.unionByName(
-        count_only(rejected.agg(F.count("*").alias("n")), built, "rejected", failed=F.col("n"))
-    )
+    without_fields = count_only(rejected.agg(F.count("*").alias("n")), built, "rejected", failed=F.col("n"))
+    return stage(built.unionByName(without_fields), "dispositions")

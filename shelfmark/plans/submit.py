@@ -84,4 +84,4 @@ def submit_dispositions(
     files = stage(files, "files")
     built = build_records(files, contents, repos, layout, as_of, rules, busy_candidates(files))
     failed = failures.withColumn("source_type", F.lit(SOURCE))
-    return built.unionByName(count_only(failed, built, "failed", failed=F.col("n_requests")))
+    return stage(built.unionByName(count_only(failed, built, "failed", failed=F.col("n_requests"))), "dispositions")

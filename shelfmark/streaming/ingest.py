@@ -13,6 +13,7 @@ from shelfmark import schemas
 from shelfmark.functions.risk import DEFAULT_RULES
 from shelfmark.operators import dedup, merge
 from shelfmark.plans.records import CANDIDATE_COLUMNS, build_records, busy_candidates, saved_records
+from shelfmark.session import stage
 from shelfmark.sources import landing
 from shelfmark.sources.index_store import IndexStore
 
@@ -35,7 +36,8 @@ def merge_fetched(
         F.col("skill_api_url").alias("api_url"), "status_code", "body", "etag", "last_modified", "payload"
     )
     candidates = once.select(*CANDIDATE_COLUMNS, "seq")
-    rows = build_records(candidates, landing.file_contents(responses), repos, layout, now, rules, busy_candidates(fetched))
+    built = build_records(candidates, landing.file_contents(responses), repos, layout, now, rules, busy_candidates(fetched))
+    rows = stage(built, "dispositions")
     records = dedup.last_wins(saved_records(rows, ["seq"]), schemas.KEY, ["seq"])
     return store.publish(merge.upsert(store.read(), records, now), as_of, batch_id)
 
