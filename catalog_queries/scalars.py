@@ -46,7 +46,7 @@ def _(i):
 
 @query("f5_truncate_words", f"SELECT doc_id, {q.truncated('text')} AS short_text FROM documents")
 def _(i):
-    docs = i.spark.read.parquet(f"{i.sf_dir}/documents.parquet")
+    docs = i.documents
     return docs.select("doc_id", tx.truncate_words(F.col("text")).alias("short_text"))
 
 
@@ -56,7 +56,7 @@ def _(i):
   '[\-' || '{q.WS[1:]}+', '-', 'g'), '-') AS slug FROM documents""",
 )
 def _(i):
-    docs = i.spark.read.parquet(f"{i.sf_dir}/documents.parquet")
+    docs = i.documents
     return docs.select("doc_id", tx.slug(F.col("text")).alias("slug"))
 
 

@@ -149,11 +149,24 @@ def for_duckdb(sql: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n" + body
 
 
+def _spread(spark: SparkSession, sf_dir: str, table: str) -> str:
+    """A hint to share out the texts if their file gives fewer tasks than there are cores.
+
+    The given file is a single row group.  Landed data of any size comes in more
+    splits than cores and is read where it lies.
+    """
+    if table != "documents":
+        return ""
+    cores = spark.sparkContext.defaultParallelism
+    splits = spark.read.parquet(f"{sf_dir}/{table}.parquet").rdd.getNumPartitions()
+    return f"/*+ REPARTITION({cores}) */ " if splits < cores else ""
+
+
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     views = _needed(sql)
     texts = [VIEWS[v] for v in views]
     tables = [t for t in TABLES if any(_uses(s, t) for s in [*texts, sql])]
-    parts = [f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in tables]
+    parts = [f"{t} AS (SELECT {_spread(spark, sf_dir, t)}* FROM parquet.`{sf_dir}/{t}.parquet`)" for t in tables]
     parts += [f"{n} AS ({_each(VIEWS[n], 'explode(array({}))').strip()})" for n in views]
     return spark.sql("WITH " + ",\n".join(parts) + "\n" + sql)
 
@@ -165,6 +178,6 @@ class Inputs:
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name in VIEWS:
+        if name in VIEWS or name in TABLES:
             return frame(self.spark, self.sf_dir, f"SELECT * FROM {name}")
         raise AttributeError(name)

@@ -58,7 +58,10 @@ def content_flags(df: DataFrame, content: str = "content", rules=DEFAULT_RULES)
         by_flag.setdefault(rule.flag, []).append(hit(rule))
     # sorted and grouped while building, so nothing is sorted or de-duplicated per row
     raised = [F.when(reduce(Column.__or__, hits), F.lit(flag)) for flag, hits in sorted(by_flag.items())]
-    return lowered.withColumn("content_flags", F.array_compact(F.array(*raised))).drop("_lower")
+    # concat_ws skips what is not raised and, unlike a higher-order filter, stays inside generated code
+    joined = lowered.withColumn("_joined", F.concat_ws(",", *raised))
+    listed = F.when(F.col("_joined") == "", F.array().cast("array<string>")).otherwise(F.split("_joined", ","))
+    return joined.withColumn("content_flags", listed).drop("_lower", "_joined")
 
 
 def risk_flags(flags: Column, has_scripts: Column) -> Column:

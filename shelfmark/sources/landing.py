@@ -50,20 +50,29 @@ def search_hits(pages: DataFrame) -> DataFrame:
     )
 
 
-def decode_base64_text(content: Column, encoding: Column) -> Column:
-    """Base64 to text: bytes that are not UTF-8 vanish, anything undecodable is empty.
+def decode_base64(df: DataFrame, content: Column, encoding: Column) -> DataFrame:
+    """Add ``content``: base64 to text, without bytes that are not UTF-8, empty when undecodable.
 
-    Characters outside the alphabet are ignored and a wrong padding is an error,
-    as a lenient decoder does; Spark's own decoder differs in both.
+    Characters outside the alphabet are ignored and missing padding is an error, as
+    for a lenient decoder; Spark's own decoder differs in both.  The usual case,
+    clean and padded, never reaches the regular expression.
     """
-    kept = F.regexp_replace(content, r"[^A-Za-z0-9+/=]", "")
-    padded = F.length(kept) % 4 == 0
-    raw = F.try_to_binary(kept, F.lit("base64")).cast("string")
+    stripped = F.regexp_replace("_b64", r"[^A-Za-z0-9+/=]", "")
+    decoded = F.coalesce(F.try_to_binary("_b64", F.lit("base64")), F.try_to_binary(stripped, F.lit("base64")))
+    tail, over = F.rtrim(F.col("_b64"), F.lit("\r\n ")), F.octet_length("_bytes") % 3
+    padded = F.when(over == 0, True).when(over == 1, tail.endswith("==")).otherwise(tail.endswith("="))
+    raw = F.col("_raw")
     # U+FFFD marks what was invalid, so one that the text itself holds steps aside meanwhile
     aside = F.replace(raw, F.lit("\ufffd"), F.lit("\ufdd0"))
     cleaned = F.replace(F.make_valid_utf8(aside), F.lit("\ufffd"), F.lit(""))
     text = F.when(F.is_valid_utf8(raw), raw).otherwise(F.replace(cleaned, F.lit("\ufdd0"), F.lit("\ufffd")))
-    return F.coalesce(F.when((encoding == "base64") & padded, text), F.lit(""))
+    return (
+        df.withColumn("_b64", F.when(encoding == "base64", content))
+        .withColumn("_bytes", decoded)
+        .withColumn("_raw", F.when(padded | (F.length(stripped) % 4 == 0), F.col("_bytes").cast("string")))
+        .withColumn("content", F.coalesce(text, F.lit("")))
+        .drop("_b64", "_bytes", "_raw")
+    )
 
 
 def file_contents(responses: DataFrame) -> DataFrame:
@@ -71,13 +80,8 @@ def file_contents(responses: DataFrame) -> DataFrame:
     body = F.from_json("payload", schemas.CONTENT_PAYLOAD)
     keys = [c for c in responses.columns if c != "payload"]
     parsed = responses.select(*keys, F.when(_ok(), body).alias("p"))
-    return parsed.select(
-        *keys,
-        decode_base64_text(F.col("p.content"), F.col("p.encoding")).alias("content"),
-        F.col("p.sha").alias("sha"),
-        F.col("p.size").alias("size"),
-        F.col("p.download_url").alias("download_url"),
-    )
+    decoded = decode_base64(parsed, F.col("p.content"), F.col("p.encoding"))
+    return decoded.select(*keys, "content", "p.sha", "p.size", "p.download_url")
 
 
 def repo_stats(responses: DataFrame) -> DataFrame:
