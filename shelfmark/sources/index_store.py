@@ -112,15 +112,14 @@ def export_csv(index: DataFrame, path: str) -> None:
         F.to_json(f.name).alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)) else F.col(f.name)
         for f in index.schema.fields
     ]
-    # quotes are doubled and line ends kept inside quotes, so any text survives
-    index.select(*flat).write.option("header", True).option("escape", '"').option("nullValue", "\\N").option(
-        "emptyValue", ""
-    ).csv(path)
+    # quotes are doubled, line ends stay inside quotes, spaces stay, and empty text differs from NULL
+    writer = index.select(*flat).write.option("header", True).option("escape", '"').option("nullValue", "\\N")
+    writer.options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     reader = spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True)
-    return reader.option("nullValue", "\\N").option("emptyValue", "").csv(path)
+    return reader.option("nullValue", "\\N").csv(path)
 
 
 def export_json(index: DataFrame, path: str) -> None:
