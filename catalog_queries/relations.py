@@ -269,11 +269,14 @@ def _(i):
 # ---------------------------------------------------------------- set operations
 @query(
     "u1_candidate_stream",
-    f"""WITH {KEPT_HITS} SELECT query_idx, page, count(*) AS n_hits, count(DISTINCT skill_path) AS n_paths FROM kept GROUP BY query_idx, page""",
+    f"""WITH {KEPT_HITS} SELECT query_idx, CASE query_idx WHEN 1 THEN 'filename:SKILL.md "description:"' WHEN 2 THEN 'filename:SKILL.md "name:"'
+    WHEN 3 THEN 'filename:SKILL.md "allowed-tools"' ELSE 'path:skills filename:SKILL.md' END AS query_text,
+  page, count(*) AS n_hits, count(DISTINCT skill_path) AS n_paths FROM kept GROUP BY query_idx, page""",
 )
 def _(i):
     hits = landing.search_hits(landing.search_pages(landed.search_responses(i)))
-    return hits.groupBy("query_idx", "page").agg(F.count("*").alias("n_hits"), F.countDistinct("skill_path").alias("n_paths"))
+    counted = hits.groupBy("query_idx", "page").agg(F.count("*").alias("n_hits"), F.countDistinct("skill_path").alias("n_paths"))
+    return counted.withColumn("query_text", landing.query_text(F.col("query_idx")))
 
 
 @query(

@@ -11,7 +11,6 @@ SEARCH_QUERIES = [
     'filename:SKILL.md "allowed-tools"',
     "path:skills filename:SKILL.md",
 ]
-MAX_RESULTS_PER_PAGE = 100
 MANIFEST_SUFFIX = "SKILL.md"
 SUBMITTED_SUFFIXES = ["SKILL.md", "skill.md"]
 DEFAULT_BRANCH = "main"

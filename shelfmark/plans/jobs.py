@@ -13,6 +13,7 @@ from shelfmark import schemas
 from shelfmark.operators import counters, dedup, ledger, merge
 from shelfmark.plans import refresh
 from shelfmark.plans.records import saved_records
+from shelfmark.session import stage
 from shelfmark.sources.index_store import EventLog, IndexStore
 
 
@@ -55,7 +56,8 @@ class Run:
             rows = dispositions()
             records = saved_records(rows, arrival)
             if arrival:
-                records = dedup.last_wins(records, schemas.KEY, arrival)
+                # the merge reads its batch several times, and its true size decides how it joins
+                records = stage(dedup.last_wins(records, schemas.KEY, arrival), "records")
             index = merge.upsert(self.store.read(), records, now, preserve_review=preserve_review)
             self.store.publish(index, self.as_of, batch_id)
             totals = counters.acquisition_counters(rows).first().asDict()

@@ -69,10 +69,11 @@ def build_records(
     extra = [c for c in candidates.columns if c not in CANDIDATE_COLUMNS]
     stats = repos.withColumn("_known", F.lit(True))
 
-    parsed = parse_contents(contents, rules)
-    files = lookup_join(candidates, parsed, ["skill_api_url"], ["repo_full_name", "skill_path"], by_file)
-    files = lookup_join(files, stats, ["repo_full_name"], ["skill_path", "skill_api_url"], by_repo)
+    # metadata joins last, so that its wider rows are shuffled once
+    files = lookup_join(candidates, stats, ["repo_full_name"], ["skill_path", "skill_api_url"], by_repo)
     files = attach_flags(files, layout, by_dir)
+    parsed = parse_contents(contents, rules)
+    files = lookup_join(files, parsed, ["skill_api_url"], ["repo_full_name", "skill_path"], by_file)
 
     fetched = F.coalesce(F.col("outcome"), F.lit("missing"))
     disposition = (

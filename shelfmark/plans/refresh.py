@@ -37,10 +37,10 @@ def plan_refresh(
         F.col("skill_etag").alias("_etag"), *[F.col(c).alias(f"_old_{c}") for c in _STATS],
     )
     by_file, by_repo, by_dir = busy_candidates(due)
-    files = lookup_join(old, parse_contents(contents, rules), ["skill_api_url"], ["id"], by_file)
     stats = repos.select("repo_full_name", *_STATS, "archived", F.lit(True).alias("_stats"))
-    files = lookup_join(files, stats, ["repo_full_name"], ["id"], by_repo)
+    files = lookup_join(old, stats, ["repo_full_name"], ["id"], by_repo)
     files = attach_flags(files, layout, by_dir)
+    files = lookup_join(files, parse_contents(contents, rules), ["skill_api_url"], ["id"], by_file)
 
     same = F.coalesce(F.col("skill_etag") == F.col("_etag"), F.lit(False))
     effect = (

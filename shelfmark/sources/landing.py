@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark import schemas
-from shelfmark.fixed_values import DEFAULT_BRANCH
+from shelfmark.fixed_values import DEFAULT_BRANCH, SEARCH_QUERIES
 from shelfmark.functions.coerce import iso_timestamp
 from shelfmark.functions.text import blank_to_null
 
@@ -32,6 +32,11 @@ def search_pages(responses: DataFrame) -> DataFrame:
     ).withColumn("n_items", F.coalesce(F.size("items"), F.lit(0)))
 
 
+def query_text(query_idx: Column, queries: list[str] = SEARCH_QUERIES) -> Column:
+    """The text of a search query by its number (from 1); the queries are configuration."""
+    return F.get(F.array(*[F.lit(q) for q in queries]), query_idx - 1)
+
+
 def search_hits(pages: DataFrame) -> DataFrame:
     """One row per search item, placed by (query_idx, page, pos); empty pages give none."""
     hits = pages.filter(_ok()).select("query_idx", "page", F.posexplode("items").alias("pos", "item"))

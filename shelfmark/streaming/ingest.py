@@ -38,7 +38,7 @@ def merge_fetched(
     candidates = once.select(*CANDIDATE_COLUMNS, "seq")
     built = build_records(candidates, landing.file_contents(responses), repos, layout, now, rules, busy_candidates(fetched))
     rows = stage(built, "dispositions")
-    records = dedup.last_wins(saved_records(rows, ["seq"]), schemas.KEY, ["seq"])
+    records = stage(dedup.last_wins(saved_records(rows, ["seq"]), schemas.KEY, ["seq"]), "records")
     return store.publish(merge.upsert(store.read(), records, now), as_of, batch_id)
 
 

@@ -158,3 +158,13 @@ def test_ledger(spark, shared):
     assert (runs[3]["total_found"], runs[3]["total_failed"], runs[3]["task_type"], runs[3]["finished_at"]) == (5, -1, "code_search", T1)
     assert runs[1]["started_at"] is None and runs[4]["error_message"] == "boom"
     assert tuple(ledger.run_stats(ledger.current_state(log.read())).first()) == (4, 1, 1, 1, 1)
+
+
+def test_look_ups_are_pushed_down(spark, shared):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    store = index_store.IndexStore(spark, shared)
+    store.publish(index(spark), T0)
+    plan = review.by_repo_and_path(store.read(), "a/a", "p1").select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(repo_full_name,a/a)" in plan and "EqualTo(skill_path,p1)" in plan and "description" not in plan
+    queue = review.update_queue(store.read(), 5).select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in queue and "EqualTo(status,approved)" in queue

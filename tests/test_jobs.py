@@ -172,3 +172,30 @@ def test_first_seen_across_runs(spark, shared):
     assert run() == ["ha", "hb"]
     land((3, "b"), (3, "c"))
     assert run() == ["ha", "hb", "hc"]
+
+
+def test_text_is_parsed_once_and_never_shuffled(spark, world):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        files = scan.with_addresses(world["tree"].select("repo_full_name", F.col("path").alias("skill_path"), F.lit("main").alias("default_branch")), "trusted_repo")
+        built = records.build_records(files, world["contents"], world["repos"], world["layout"], world["as_of"])
+        plan = built._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.toString().count("ArrowEvalPython [") == 1
+    shuffled = [c for e in exchanges(plan) for c in e]
+    assert shuffled and not {"content", "_lower", "payload"} & set(shuffled)
+
+
+def exchanges(plan):
+    """Names of the columns that each exchange below ``plan`` moves."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        plan = plan.initialPlan()
+    found = []
+    if plan.nodeName() == "Exchange":
+        output = plan.output()
+        found.append([output.apply(k).name() for k in range(output.size())])
+    children = plan.children()
+    for k in range(children.size()):
+        found += exchanges(children.apply(k))
+    return found
