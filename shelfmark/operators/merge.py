@@ -36,6 +36,7 @@ def upsert(
     as_of: Column,
     update_columns: list[str] | None = None,
     preserve_review: bool = False,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Insert new keys and update known ones; ``batch`` has one row per key.
 
@@ -47,6 +48,8 @@ def upsert(
     outer join: a full outer join can never broadcast, so a small batch would move
     the whole index.  Here Spark may broadcast the batch after checking its size,
     and otherwise only the two key columns of the index are shuffled a second time.
+    With ``buckets``, new rows are put together by key, as the rows of a bucketed
+    index already are, so that the result can be written without another shuffle.
     """
     fixed = {*KEY, "first_found_at", "id", "created_at", "updated_at"}
     updatable = [c for c in batch.columns if c in index.columns and c not in fixed]
@@ -78,7 +81,7 @@ def upsert(
     new = stamped.select(
         *[(F.col(c) if c in have else F.lit(None)).cast(index.schema[c].dataType).alias(c) for c in index.columns]
     )
-    return kept.unionByName(new)
+    return kept.unionByName(new.repartition(buckets, *KEY) if buckets else new)
 
 
 def change_classes(index: DataFrame, current: DataFrame, validator: str = "skill_etag") -> DataFrame:

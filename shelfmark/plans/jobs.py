@@ -58,8 +58,9 @@ class Run:
             if arrival:
                 # the merge reads its batch several times, and its true size decides how it joins
                 records = stage(dedup.last_wins(records, schemas.KEY, arrival), "records")
-            index = merge.upsert(self.store.read(), records, now, preserve_review=preserve_review)
-            self.store.publish(index, self.as_of, batch_id)
+            old, buckets = self.store.read(), self.store.buckets
+            index = merge.upsert(old, records, now, preserve_review=preserve_review, buckets=buckets)
+            self.store.publish(index, self.as_of, batch_id, clustered=self.store.version() > 0)
             totals = counters.acquisition_counters(rows).first().asDict()
             return totals, (totals["total_found"], totals["total_saved"], totals["total_skipped"])
 
@@ -72,7 +73,8 @@ class Run:
         def work():
             index = self.store.read()
             changes = refresh.plan_refresh(index, contents, repos, layout, limit)
-            self.store.publish(refresh.apply_refresh(index, changes, now), self.as_of)
+            after = refresh.apply_refresh(index, changes, now)
+            self.store.publish(after, self.as_of, clustered=self.store.version() > 0)
             totals = counters.refresh_counters(changes).first().asDict()
             return totals, (totals["checked"], totals["updated"], totals["not_modified"])
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark import schemas
 from shelfmark.functions.coerce import flag01
 from shelfmark.functions.risk import DEFAULT_RULES, risk_flags, risk_level
 from shelfmark.operators import review
@@ -13,6 +14,7 @@ from shelfmark.operators.skew import lookup_join
 from shelfmark.plans.records import busy_candidates, parse_contents
 from shelfmark.session import stage
 
+KEY = schemas.KEY
 _META = ["name", "description", "license", "compatibility", "frontmatter_json"]
 _FILE = ["skill_sha", "skill_size", "skill_etag", "skill_last_modified"]
 _STATS = ["stars", "forks", "watchers", "open_issues", "repo_license", "repo_updated_at", "repo_pushed_at"]
@@ -53,6 +55,7 @@ def plan_refresh(
     flags = risk_flags(F.col("content_flags"), F.col("has_scripts"))
     changes = files.select(
         "id",
+        *KEY,
         effect.alias("effect"),
         *[F.col(f"meta.{c}").alias(c) for c in _META],
         F.array_join("meta.allowed_tools", ",").alias("allowed_tools"),
@@ -67,14 +70,14 @@ def plan_refresh(
 
 
 def apply_refresh(index: DataFrame, changes: DataFrame, as_of: Column) -> DataFrame:
-    """Touch, replace or mark offline, in one join on the id.
+    """Touch, replace or mark offline, in one join on the key, by which the index may be bucketed.
 
     A replaced row keeps its status; the columns a re-check does not deliver fall
     back to their defaults (disabled, private, license status, slug).
     """
-    values = [c for c in changes.columns if c not in ("id", "effect")]
-    incoming = changes.select("id", "effect", *[F.col(c).alias(f"_new_{c}") for c in values])
-    joined = index.join(incoming, "id", "left")
+    values = [c for c in changes.columns if c not in ("id", "effect", *KEY)]
+    incoming = changes.select(*KEY, "effect", *[F.col(c).alias(f"_new_{c}") for c in values])
+    joined = index.join(incoming, KEY, "left")
     effect = F.col("effect")
     defaults = {
         "repo_disabled": F.lit(0),

@@ -88,15 +88,19 @@ class IndexStore:
         )
         return self.spark.table(self._table(path))
 
-    def publish(self, index: DataFrame, as_of: datetime, batch_id: str | None = None) -> int:
-        """Write the next version and commit it; a batch that was committed before changes nothing."""
+    def publish(self, index: DataFrame, as_of: datetime, batch_id: str | None = None, clustered: bool = False) -> int:
+        """Write the next version and commit it; a batch that was committed before changes nothing.
+
+        ``clustered`` says that the rows come from the last version by a merge on the
+        key and still lie together by bucket; other rows are brought together first.
+        """
         if batch_id is not None and self.has_batch(batch_id):
             return self.version()
         version = self.version() + 1
         path = f"{self.root}/versions/v{version:08d}-{uuid.uuid4().hex}"
         rows = conform(index, self.schema)
         if self.buckets:
-            by_key = rows.repartition(self.buckets, *schemas.KEY)
+            by_key = rows if clustered else rows.repartition(self.buckets, *schemas.KEY)
             writer = by_key.write.bucketBy(self.buckets, *schemas.KEY).sortBy(*schemas.KEY)
             writer.option("path", path).format("parquet").saveAsTable(self._table(path))
         else:

@@ -39,7 +39,8 @@ def merge_fetched(
     built = build_records(candidates, landing.file_contents(responses), repos, layout, now, rules, busy_candidates(fetched))
     rows = stage(built, "dispositions")
     records = stage(dedup.last_wins(saved_records(rows, ["seq"]), schemas.KEY, ["seq"]), "records")
-    return store.publish(merge.upsert(store.read(), records, now), as_of, batch_id)
+    index = merge.upsert(store.read(), records, now, buckets=store.buckets)
+    return store.publish(index, as_of, batch_id, clustered=store.version() > 0)
 
 
 def ingest(

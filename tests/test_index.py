@@ -168,3 +168,28 @@ def test_look_ups_are_pushed_down(spark, shared):
     assert "EqualTo(repo_full_name,a/a)" in plan and "EqualTo(skill_path,p1)" in plan and "description" not in plan
     queue = review.update_queue(store.read(), 5).select("id")._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in queue and "EqualTo(status,approved)" in queue
+
+
+@pytest.mark.parametrize("broadcast", ["-1", "10mb"])
+def test_merging_into_a_bucketed_index_keeps_its_layout(spark, shared, broadcast):
+    store = index_store.IndexStore(spark, shared, buckets=4)
+    rows = spark.range(4_000).select("id", F.concat(F.lit("o/r"), F.col("id") % 5).alias("repo_full_name"), F.col("id").cast("string").alias("skill_path"))
+    store.publish(rows, T0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        fresh = rows.withColumns({"skill_path": (F.col("id") * 3).cast("string"), "stars": F.lit(1)}).drop("id")
+        after = merge.upsert(store.read(), fresh, F.lit(T1), buckets=4)
+        store.publish(after, T1, clustered=True)
+        old = {(r["repo_full_name"], r["skill_path"]): r["id"] for r in store.read(1).collect()}
+        new = {(r["repo_full_name"], r["skill_path"]): (r["id"], r["stars"]) for r in store.read(2).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(new) == store.read(2).count() > 4_000 and all(new[k][0] == old[k] for k in old)
+    assert len(store.read(2).inputFiles()) <= 8
+    # the files really lie by bucket: a merge that trusts the layout finds every key
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        again = store.read(2).join(spark.createDataFrame(list(new), "repo_full_name string, skill_path string"), KEY)
+        assert again.count() == len(new)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
