@@ -19,9 +19,9 @@ _HEADING = rf"(?mdU)^#+{_S}+.+$"
 
 # All characters that count as white space at the ends of a text.
 WHITESPACE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
     + "".join(chr(c) for c in range(0x2000, 0x200B))
-    + "    　"
+    + "\u2028\u2029\u202f\u205f\u3000"
 )
 
 
