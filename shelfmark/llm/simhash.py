@@ -153,10 +153,41 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
 def near_duplicates(documents: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """Every document with its class: doc_id, fp (signed), fingerprint (hexadecimal), component_id."""
     rows = stage(documents.select("doc_id", "text").select("doc_id", fingerprints(documents).alias("fp")), "fingerprints")
+    of = _components(rows, radius, tile).select("fp", "component_id")
+    return rows.join(of, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _components(rows: DataFrame, radius: int, tile: int) -> DataFrame:
+    """Of every distinct fingerprint: fp, label of its component, component_id."""
     distinct = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     labels = connected_components(stage(links(distinct.select("fp"), radius, tile), "links"))
     known = distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     known = stage(known, "known")
     smallest = known.groupBy("label").agg(F.min("first").alias("component_id"))
-    of = stage(known.join(smallest, "label").select("fp", "component_id"), "components")
-    return rows.join(of, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return stage(known.join(smallest, "label").select("fp", "label", "component_id"), "components")
+
+
+def one_of_each(documents: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """One document of each component, the one of the smallest doc_id, with all its columns.
+
+    Of repeated rows of that doc_id in the component one stays; a component without any
+    doc_id keeps one row as well.
+    """
+    rows = stage(documents.select("doc_id", "text").select("doc_id", fingerprints(documents).alias("fp")), "fingerprints")
+    of = _components(rows, radius, tile)
+    heads = (
+        rows.filter("doc_id IS NOT NULL")
+        .join(of, "fp")
+        .groupBy("doc_id")
+        .agg(F.count("*").alias("n"), F.max(F.expr("doc_id = component_id")).alias("head"))
+        .filter("head")
+    )
+    heads = stage(heads.select("doc_id", "n"), "heads")
+    single = documents.join(heads.filter("n = 1").select("doc_id"), "doc_id", "left_semi")
+    # ids that repeat, or are missing: the fingerprint says which component a row is of
+    again = documents.join(heads.filter("n > 1").select("doc_id"), "doc_id", "left_semi")
+    again = again.unionByName(documents.filter("doc_id IS NULL")).withColumn("_fp", fingerprints(documents))
+    again = again.join(of.select(F.col("fp").alias("_fp"), F.col("label").alias("_label"), F.col("component_id").alias("_component")), "_fp")
+    again = again.filter("doc_id <=> _component").dropDuplicates(["_label"])
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    return single.select(*columns).unionAll(again.select(*columns))
