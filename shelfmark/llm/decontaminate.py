@@ -27,58 +27,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import per_text
+from shelfmark.llm.words import STRETCH, hashes_of, mixed, plain, stretches, word_hashes
 
 WINDOW = 10
 GRAM = 5
 BLOCK_BYTES = 8 << 20
-# Bytes of a text that are looked at together: bounds memory for texts of any length.
-STRETCH = 1 << 20
 
-_PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
-_powers = np.ones(1, dtype=np.uint64)
-_inverse = np.ones(1, dtype=np.uint64)
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 FOUND = pa.struct([("n_words", pa.int64()), ("items", pa.list_(pa.string())), ("spans", SPANS)])
 
 
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2**64."""
-    global _powers, _inverse
-    if len(_powers) < n:
-        size = 1 << int(n - 1).bit_length()
-        with np.errstate(over="ignore"):
-            _powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, _BASE)]), dtype=np.uint64)
-            back = np.uint64(pow(int(_BASE), -1, 1 << 64))
-            _inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, back)]), dtype=np.uint64)
-    return _powers[:n], _inverse[:n]
-
-
-def plain(text: str) -> bytes:
-    return text.encode("utf-8", "surrogatepass").translate(_PLAIN)
-
-
-def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    inside = np.frombuffer(data, dtype=np.uint8) != 32
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]])))
-    return edges[0::2], edges[1::2]
-
-
-def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each word, from differences of one running sum."""
-    powers, inverse = _powers_to(len(data) + 1)
-    codes = np.frombuffer(data, dtype=np.uint8).astype(np.uint64)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(codes * powers[:-1], dtype=np.uint64)])
-    return _mixed((sums[ends] - sums[starts]) * inverse[starts])
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    return h ^ (h >> np.uint64(29))
-
-
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """A hash of every ``n`` consecutive words."""
     if len(words) < n:
@@ -86,7 +46,7 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     h = np.zeros(len(words) - n + 1, dtype=np.uint64)
     for k in range(n):
         h = h * _STEP + words[k : len(words) - n + 1 + k]
-    return _mixed(h)
+    return mixed(h)
 
 
 def winnow(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -118,7 +78,7 @@ class Benchmark:
             k = len(self.ids)
             self.ids.append(item_id)
             self.words.append(words)
-            hashes = _hashes_of(words)
+            hashes = hashes_of(words)
             if len(words) < window:
                 short[len(words)][int(gram_hashes(hashes, len(words))[0])].append(k)
                 continue
@@ -168,7 +128,7 @@ class Benchmark:
     def search(self, text: str | None, stretch: int = STRETCH) -> dict:
         """n_words, items and hit spans (word numbers, end exclusive) of a whole text."""
         data = plain(text) if text else b""
-        at, carried, flags, base = 0, b"", np.zeros(0, dtype=bool), 0
+        flags, base = np.zeros(0, dtype=bool), 0
         spans: list[list[int]] = []
         items: set[int] = set()
 
@@ -180,30 +140,18 @@ class Benchmark:
                 else:
                     spans.append([a, b])
 
-        while at < len(data):
-            cut = len(data) if len(data) - at <= stretch else data.find(b" ", at + stretch)
-            cut = len(data) if cut < 0 else cut
-            part = carried + data[at:cut]
-            at = cut
-            starts, ends = word_bounds(part)
+        for part, starts, ends, keep in stretches(data, self.window - 1, stretch):
             hit, found = self.look_up(part, starts, ends)
             hit[: len(flags)] |= flags
             items |= found
             # windows over the border lie in the next stretch, which begins with these words
-            keep = min(self.window - 1, len(starts)) if at < len(data) else 0
             close(hit[: len(hit) - keep], base)
             base += len(hit) - keep
             flags = hit[len(hit) - keep :]
-            carried = part[starts[len(starts) - keep] :] if keep else b""
         names = sorted({self.ids[k] for k in items if self.ids[k] is not None})
         return {"n_words": base, "items": names, "spans": [{"start": a, "end": b} for a, b in spans]}
 
 
-def _hashes_of(words: list[bytes]) -> np.ndarray:
-    data = b" ".join(words)
-    return word_hashes(data, *word_bounds(data))
-
-
 def _is_in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     if not len(known):
         return np.zeros(len(values), dtype=bool)
@@ -257,7 +205,6 @@ def contamination(documents: DataFrame, benchmark: DataFrame, block_bytes: int =
     return found.select("doc_id", "n_words", hit_words(F.col("spans")).alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_sort("items").alias("items"), "spans")
 
 
-
 def clean(documents: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents without any word hit, all their columns kept."""
     context, rows = documents.sparkSession.sparkContext, documents
