@@ -246,12 +246,11 @@ def measured(index: Index, laid: DataFrame, queries: DataFrame, n_queries: int,
 def search(embeddings: DataFrame, is_query: Column, settings: Settings = Settings()) -> DataFrame:
     """query_id, rank, vec_id and score of every query's nearest entries."""
     spark, rows = embeddings.sparkSession, usable(embeddings)
-    n = rows.count()
-    if not n:
+    n, n_queries = rows.count(), rows.filter(is_query).count()
+    if not n_queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index, laid = build(rows, n, settings)
     queries = laid.filter(is_query)
-    n_queries = queries.count()
     index = measured(index, laid, queries, n_queries, settings)
     seconds, k = len(index.second), settings.neighbours
     query_blocks = -(-n_queries // settings.tile)

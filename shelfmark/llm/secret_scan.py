@@ -46,7 +46,7 @@ KNOWN_FORM = re.compile(
     re.IGNORECASE,
 )
 
-RUN = frozenset(string.ascii_letters + string.digits + "+/_=.~-")
+RUN = frozenset(string.ascii_letters + string.digits + "+/_.~-")
 _DIGITS = re.compile(r"[0-9]+")
 _ASSIGN = re.compile(r"[:=]")
 _VALUE = re.compile(r"[:=]{0,2}>?\s{0,3}(?:Bearer\s{1,3}|Basic\s{1,3})?([\"'`]?)([^\s\"'`<>,;(){}|\[\]]{6,})", re.IGNORECASE)
@@ -101,6 +101,9 @@ def candidates(text: str) -> list[Candidate]:
             a -= 1
         while b < len(text) and text[b] in RUN:
             b += 1
+        padded = b + len(text[b : b + 2]) - len(text[b : b + 2].lstrip("="))
+        if text[padded : padded + 1] not in RUN:  # of base64, not of an assignment
+            b = padded
         upto = b
         run = text[a:b]
         for known in KNOWN_FORM.finditer(run):

@@ -42,9 +42,10 @@ class Settings:
     widths: tuple[int, ...] = (1, 2, 3)
     filters: int = 8  # of each width
     least_texts: int = 4  # a hashed word in fewer sampled texts shares the embedding of rare words
-    epochs: int = 8
+    epochs: int = 10
     rate: float = 0.02
     decay: float = 1e-4
+    hidden_words: float = 0.5  # share of whole words taken for rare ones in training, so that beginnings are learned as well
     seed: int = 5
 
 
@@ -93,10 +94,14 @@ def _language(table: np.ndarray, counts: np.ndarray) -> int:
     return int(counts[:-1].argmax()) if counts[:-1].any() else len(LANGUAGES) - 1
 
 
-def _pool(products: np.ndarray, rows: np.ndarray, widths: tuple[int, ...], filters: int) -> tuple[np.ndarray, np.ndarray]:
-    """Largest response of every filter over all positions, and where; the end is padded."""
-    n = max(1, len(rows))
-    padded = np.concatenate([rows, np.zeros((max(widths) - 1 + (len(rows) == 0), rows.shape[1]), dtype=rows.dtype)])
+def _pool(products: np.ndarray, rows: np.ndarray, widths: tuple[int, ...], filters: int, last: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Largest response of every filter over all positions, and where.
+
+    The end of a text is padded; a stretch before the last ends where the next one begins.
+    """
+    ahead = max(widths) - 1
+    n = max(1, len(rows) if last else len(rows) - ahead)
+    padded = np.concatenate([rows, np.zeros((max(0, n + ahead - len(rows)), rows.shape[1]), dtype=rows.dtype)])
     found = products[padded[:, 0]]
     for k in range(1, rows.shape[1]):
         found += products[padded[:, k]]
@@ -117,7 +122,9 @@ def logit(model: Model, text: str | None) -> tuple[float, int]:
     counts = np.zeros(len(LANGUAGES), dtype=np.int64)
     for slots, keep in _slot_parts(text, max(model.widths) - 1):
         counts += np.bincount(model.language_of_slot[slots[: len(slots) - keep, 0]], minlength=len(LANGUAGES))
-        pooled, _ = _pool(model.products, _rows(model.row_of_slot, slots), model.widths, model.filters)
+        if keep == len(slots):  # a stretch so short that the next one holds all of it
+            continue
+        pooled, _ = _pool(model.products, _rows(model.row_of_slot, slots), model.widths, model.filters, keep == 0)
         best = pooled if best is None else np.maximum(best, pooled)
     hidden = np.maximum((best if best is not None else np.zeros_like(model.bias)) + model.bias, 0.0)
     return float(hidden @ model.dense) + model.offset, _language(model.language_of_slot, counts)
@@ -163,7 +170,8 @@ def _train(texts: list[np.ndarray], y: np.ndarray, n_rows: int, settings: Settin
             g_kernel, g_bias, g_dense, g_offset = np.zeros_like(kernel.value), np.zeros_like(bias.value), np.zeros_like(dense.value), np.zeros(1, dtype=np.float32)
             touched, pulls = [], []
             for k in some:
-                rows = texts[k]
+                rows = texts[k].copy()
+                rows[rng.random(len(rows)) < settings.hidden_words, 0] = 1
                 seen, back = np.unique(np.concatenate([[0], rows.ravel()]), return_inverse=True)
                 pooled, where = _pool(embedding[seen] @ kernel.value, back[1:].reshape(rows.shape), widths, n_filters)
                 hidden = np.maximum(pooled + bias.value, 0.0)
