@@ -73,6 +73,20 @@ def _(i):
     return merge.set_status(i.skill_index, _changes(i), as_of()).select("id", "status", text_time("updated_at"))
 
 
+@query(
+    "m2_repeated_ids",
+    f"""WITH {_CHANGE_SQL}
+SELECT x.id, coalesce(c.new_status, x.status) AS status, CASE WHEN c.id IS NULL THEN {q.ts('x.updated_at')} ELSE '{q.AS_OF}' END AS updated_at
+FROM skill_index x LEFT JOIN c ON c.id = x.id""",
+)
+def _(i):
+    # each change comes after another one of the same row
+    last = _changes(i).withColumn("at", F.lit(2))
+    earlier = last.withColumns({"new_status": F.lit("risky"), "at": F.lit(1)})
+    changed = merge.set_status(i.skill_index, last.unionByName(earlier), as_of(), order=["at"])
+    return changed.select("id", "status", text_time("updated_at"))
+
+
 @query(
     "m2_status_results",
     f"WITH {_CHANGE_SQL} SELECT c.id, new_status, CAST(c.id IN (SELECT id FROM skill_index) AS INT) AS applied FROM c",

@@ -38,11 +38,7 @@ def _(i):
     )
 
 
-_LISTED = """listed AS (
-  SELECT repo_full_name, dir, bool_or(type = 'dir' AND lower(name) = 'scripts') AS has_scripts, bool_or(type = 'dir' AND lower(name) = 'assets') AS has_assets,
-    bool_or(type = 'dir' AND lower(name) = 'references') AS has_references, bool_or(type = 'dir' AND lower(name) IN ('tests', 'test')) AS has_tests
-  FROM listing_items WHERE doc_id % 19 <> 0 GROUP BY repo_full_name, dir
-)"""
+_LISTED = q.LISTED
 
 
 @query(
@@ -65,14 +61,17 @@ def _(i):
 
 _CHANGES = """changes AS (
   SELECT coalesce(x.repo_full_name, c.repo_full_name) AS repo_full_name, coalesce(x.skill_path, c.skill_path) AS skill_path,
-    CASE WHEN x.id IS NULL THEN 'new' WHEN c.doc_id IS NULL THEN 'gone' WHEN x.skill_etag IS NOT DISTINCT FROM c.etag THEN 'unchanged' ELSE 'modified' END AS change
+    CASE WHEN x.id IS NULL THEN 'new' WHEN c.doc_id IS NULL THEN 'gone'
+      WHEN CASE WHEN c.doc_id % 10 = 0 THEN x.skill_sha = c.sha ELSE x.skill_etag = c.etag END THEN 'unchanged' ELSE 'modified' END AS change
   FROM skill_index x FULL JOIN content_responses c ON x.repo_full_name = c.repo_full_name AND x.skill_path = c.skill_path
 )"""
 
 
 @query("j4_change_classes", f"WITH {_CHANGES} SELECT repo_full_name, skill_path, change FROM changes")
 def _(i):
-    current = i.content_responses.withColumnRenamed("etag", "skill_etag")
+    # a tenth of the answers has no validator, so that the hash decides
+    etag = F.when(F.col("doc_id") % 10 != 0, F.col("etag"))
+    current = i.content_responses.withColumn("skill_etag", etag).withColumnRenamed("sha", "skill_sha")
     return merge.change_classes(i.skill_index, current)
 
 
@@ -90,8 +89,9 @@ def _(i):
         "single": known_repos.scan_scope(known, "owner1/src1"),
         "default": known_repos.scan_scope(nobody),
     }
+    [busy] = busy_keys(tree, ["repo_full_name"], at_least=4)
     parts = [
-        lookup_join(tree, scope, ["repo_full_name"], ["path"], how="left_semi").select(F.lit(n).alias("scope"), "repo_full_name", "path")
+        lookup_join(tree, scope, ["repo_full_name"], ["path"], busy, how="left_semi").select(F.lit(n).alias("scope"), "repo_full_name", "path")
         for n, scope in scopes.items()
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -106,7 +106,8 @@ FROM parts""",
 def _(i):
     named = i.submissions.select("page_id", refs.referenced_repo(F.col("url")).alias("repo_full_name"))
     known = i.repos.select("repo_full_name", F.lit(True).alias("known"))
-    joined = lookup_join(named, known, ["repo_full_name"], ["page_id"])
+    [busy] = busy_keys(named, ["repo_full_name"], at_least=4)
+    joined = lookup_join(named, known, ["repo_full_name"], ["page_id"], busy)
     verdict = (
         F.when(F.col("repo_full_name").isNull(), "bad reference").when(F.col("known"), "accepted").otherwise("unknown repository")
     )
@@ -120,20 +121,27 @@ FIRSTS = """firsts AS (
 )"""
 
 
-@query(
-    "j7_attach_content",
+_ATTACHED = (
     f"""WITH {FIRSTS}, joined AS (
   SELECT f.hit_key, CASE WHEN c.api_url IS NULL THEN 'missing' ELSE {q.OUTCOME} END AS outcome,
     length(CASE WHEN c.status_code = 200 THEN c.content ELSE '' END) AS n_chars
   FROM firsts f LEFT JOIN content_responses c ON c.api_url = f.api_url WHERE rn = 1)
-SELECT hit_key, outcome, n_chars, CAST(outcome = 'ok' AND n_chars > 0 AS INT) AS usable FROM joined""",
+SELECT hit_key, outcome, n_chars, CAST(outcome = 'ok' AND n_chars > 0 AS INT) AS usable FROM joined"""
 )
+
+
+@query("j7_attach_content", _ATTACHED)
 def _(i):
     candidates = dedup.first_seen(i.search_hits.filter(dedup.has_required_fields())).select("hit_key", "api_url")
     files = landing.file_contents(landed.content_responses(i)).select(
         "api_url", outcomes.outcome(F.col("status_code"), F.col("body")).alias("outcome"), F.length("content").alias("n_chars")
     )
-    joined = lookup_join(candidates, files, ["api_url"], ["hit_key"])
+    return _attached(candidates, files)
+
+
+def _attached(candidates, files):
+    [busy] = busy_keys(candidates, ["api_url"], at_least=4)
+    joined = lookup_join(candidates, files, ["api_url"], ["hit_key"], busy)
     outcome = F.coalesce("outcome", F.lit("missing"))
     return joined.select(
         "hit_key", outcome.alias("outcome"), "n_chars",
@@ -141,6 +149,19 @@ def _(i):
     )
 
 
+@query("j7_with_retries", _ATTACHED)
+def _(i):
+    """Every second request was answered by an error first, and a fifth of the answers landed twice."""
+    candidates = dedup.first_seen(i.search_hits.filter(dedup.has_required_fields())).select("hit_key", "api_url")
+    once = landed.content_responses(i).withColumn("attempt", F.when(F.col("doc_id") % 2 == 0, 2).otherwise(1))
+    failed = once.filter("doc_id % 2 = 0").withColumns({"attempt": F.lit(1), "status_code": F.lit(503), "payload": F.lit("{}")})
+    files = landing.file_contents(once.unionByName(failed).unionByName(once.filter("doc_id % 5 = 0")))
+    narrow = files.select(
+        "api_url", outcomes.outcome(F.col("status_code"), F.col("body")).alias("outcome"), F.length("content").alias("n_chars"), F.col("attempt").alias("_attempt")
+    )
+    return _attached(candidates, outcomes.final_attempts(narrow, ["api_url"]))
+
+
 # ---------------------------------------------------------------- aggregations
 @query("a1_count_status", "SELECT count(*) AS n FROM skill_index WHERE status = 'approved'")
 def _(i):
@@ -287,9 +308,9 @@ def _(i):
   SELECT 'github_search' AS source_type, repo_full_name, skill_path FROM firsts WHERE rn = 1
   UNION ALL SELECT 'trusted_repo', t.repo_full_name, t.path FROM tree_items t JOIN repos r ON r.repo_full_name = t.repo_full_name
     WHERE suffix(t.path, 'SKILL.md') AND t.type = 'blob' AND t.repo_full_name IN (SELECT repo_full_name FROM known_repos WHERE scan_enabled = 1)
-  UNION ALL SELECT 'user_submit', a.repo_full_name, a.skill_path FROM asked a JOIN repos r ON r.repo_full_name = a.repo_full_name
+  UNION SELECT 'user_submit', a.repo_full_name, a.skill_path FROM asked a JOIN repos r ON r.repo_full_name = a.repo_full_name
     WHERE suffix(a.skill_path, 'SKILL.md') OR suffix(a.skill_path, 'skill.md')
-  UNION ALL SELECT 'user_submit', t.repo_full_name, t.path FROM asked a JOIN repos r ON r.repo_full_name = a.repo_full_name
+  UNION SELECT 'user_submit', t.repo_full_name, t.path FROM asked a JOIN repos r ON r.repo_full_name = a.repo_full_name
     JOIN tree_items t ON t.repo_full_name = a.repo_full_name WHERE a.skill_path IS NULL AND suffix(t.path, 'SKILL.md') AND t.type = 'blob'
 )
 SELECT source_type, repo_full_name, skill_path FROM routes""",
@@ -298,10 +319,12 @@ def _(i):
     tree, repos = i.tree_items, i.repos
     scope = known_repos.scan_scope(i.known_repos)
     read = tree.select("repo_full_name").distinct()
-    submitted, _ = submit.resolve(stage(submit.targets(i.submissions), "targets"), repos, tree, read)
+    asked = stage(submit.targets(i.submissions), "targets")
+    [busy], [busy_tree] = busy_keys(asked, ["repo_full_name"], at_least=4), busy_keys(tree, ["repo_full_name"], at_least=4)
+    submitted, _ = submit.resolve(asked, repos, tree, read, busy, busy_tree)
     routes = [
         search.candidates(i.search_hits.withColumns({"repo_owner": F.lit(""), "repo_url": F.lit(""), "default_branch": F.lit("main")})),
-        scan.scan_candidates(tree, scope, repos),
+        scan.scan_candidates(tree, scope, repos, busy_tree),
         submitted,
     ]
     columns = ["source_type", "repo_full_name", "skill_path"]

@@ -85,6 +85,18 @@ LAYOUT = r"""layout AS (
   GROUP BY f.doc_id
 )"""
 
+# flags per directory from landed listings; a nineteenth of those are no listing
+LISTED = """listed AS (
+  SELECT repo_full_name, dir, bool_or(type = 'dir' AND lower(name) = 'scripts') AS has_scripts, bool_or(type = 'dir' AND lower(name) = 'assets') AS has_assets,
+    bool_or(type = 'dir' AND lower(name) = 'references') AS has_references, bool_or(type = 'dir' AND lower(name) IN ('tests', 'test')) AS has_tests
+  FROM listing_items WHERE doc_id % 19 <> 0 GROUP BY repo_full_name, dir
+)"""
+LISTED_LAYOUT = LISTED + r""", layout AS (
+  SELECT f.doc_id, coalesce(l.has_scripts, false) AS has_scripts, coalesce(l.has_assets, false) AS has_assets,
+    coalesce(l.has_references, false) AS has_references, coalesce(l.has_tests, false) AS has_tests
+  FROM skill_files f LEFT JOIN listed l ON l.repo_full_name = f.repo_full_name AND l.dir = regexp_replace(f.skill_path, '/[^/]*\z', '')
+)"""
+
 OUTCOME = """CASE WHEN status_code = 304 THEN 'not_modified' WHEN status_code = 404 THEN 'not_found'
   WHEN status_code IN (401, 403) AND contains(lower(body), 'rate limit') THEN 'rate_limited'
   WHEN status_code IN (401, 403) THEN 'auth_error' WHEN status_code = 429 THEN 'rate_limited'

@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from shelfmark import fixed_values as fv
 
 
+# Joins flags for a moment; no readable flag holds it.
+SEPARATOR = "\x1f"
+
+
 @dataclass(frozen=True)
 class RiskRule:
     pattern: str
@@ -53,14 +57,16 @@ def content_flags(df: DataFrame, content: str = "content", rules=DEFAULT_RULES)
             return low.rlike("(?i)" + rule.pattern)
         return F.contains(low, F.lit(rule.pattern.lower()))
 
+    if any(SEPARATOR in rule.flag for rule in rules):
+        raise ValueError("a flag cannot hold the separator of flags")
     by_flag: dict[str, list[Column]] = {}
     for rule in rules:
         by_flag.setdefault(rule.flag, []).append(hit(rule))
     # sorted and grouped while building, so nothing is sorted or de-duplicated per row
     raised = [F.when(reduce(Column.__or__, hits), F.lit(flag)) for flag, hits in sorted(by_flag.items())]
     # concat_ws skips what is not raised and, unlike a higher-order filter, stays inside generated code
-    joined = lowered.withColumn("_joined", F.concat_ws(",", *raised))
-    listed = F.when(F.col("_joined") == "", F.array().cast("array<string>")).otherwise(F.split("_joined", ","))
+    joined = lowered.withColumn("_joined", F.concat_ws(SEPARATOR, *raised))
+    listed = F.when(F.col("_joined") == "", F.array().cast("array<string>")).otherwise(F.split("_joined", SEPARATOR))
     return joined.withColumn("content_flags", listed).drop("_lower", "_joined")
 
 

@@ -55,11 +55,23 @@ def readable_pages(pages: DataFrame) -> DataFrame:
     """Pages before the first empty or failed page of their query."""
     bad = (F.col("n_items") == 0) | (~F.col("status_code").between(200, 299))
     stops = pages.filter(bad).groupBy("query_idx").agg(F.min("page").alias("stop_page"))
-    # one row per configured search query, a list that the driver itself holds
-    joined = pages.join(F.broadcast(stops), "query_idx", "left")
+    joined = pages.join(stops, "query_idx", "left")
     return joined.filter(F.col("stop_page").isNull() | (F.col("page") < F.col("stop_page"))).drop("stop_page")
 
 
+def one_row_per(rows: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """One row of each key: the last by ``order``; of equals, or without an order, the largest.
+
+    Rows without a key are kept as one.
+    """
+    rest = [c for c in rows.columns if c not in keys]
+    if not rest:
+        return rows.distinct()
+    row = F.struct(*rest)
+    best = F.max_by(row, F.struct(*order, row)) if order else F.max(row)
+    return rows.groupBy(*keys).agg(best.alias("_row")).select(*keys, "_row.*").select(*rows.columns)
+
+
 def last_wins(records: DataFrame, keys: list[str], arrival: list[str], keep_first: tuple = ("first_found_at",)) -> DataFrame:
     """What a run of upserts leaves: the last row per key, with the first row's ``keep_first``."""
     order = F.struct(*arrival)

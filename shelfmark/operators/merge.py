@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark import schemas
 from shelfmark.fixed_values import APPROVE_ABOVE_STARS, REVIEWED_STATUSES
+from shelfmark.operators import dedup
 
 KEY = schemas.KEY
 _HEX_DIGITS = 3  # 4096 buckets
@@ -38,8 +39,9 @@ def upsert(
     preserve_review: bool = False,
     buckets: int | None = None,
 ) -> DataFrame:
-    """Insert new keys and update known ones; ``batch`` has one row per key.
+    """Insert new keys and update known ones; of batch rows with one key the largest counts.
 
+    Callers that know the order of arrival reduce the batch by it before (``dedup.last_wins``).
     An update takes every column of the batch but the key and ``first_found_at``
     (or just ``update_columns``) and keeps ``id`` and ``created_at``.  With
     ``preserve_review`` a reviewed status survives rediscovery.
@@ -51,6 +53,7 @@ def upsert(
     With ``buckets``, new rows are put together by key, as the rows of a bucketed
     index already are, so that the result can be written without another shuffle.
     """
+    batch = dedup.one_row_per(batch, KEY)
     fixed = {*KEY, "first_found_at", "id", "created_at", "updated_at"}
     updatable = [c for c in batch.columns if c in index.columns and c not in fixed]
     if update_columns is not None:
@@ -84,14 +87,24 @@ def upsert(
     return kept.unionByName(new.repartition(buckets, *KEY) if buckets else new)
 
 
-def change_classes(index: DataFrame, current: DataFrame, validator: str = "skill_etag") -> DataFrame:
-    """Every key with unchanged / modified / new / gone, by comparing validators."""
-    old = index.select(*KEY, F.col(validator).alias("_old"), F.lit(True).alias("_was"))
-    now = current.select(*KEY, F.col(validator).alias("_now"), F.lit(True).alias("_is"))
+def change_classes(index: DataFrame, current: DataFrame, validator: str = "skill_etag", fallback: str = "skill_sha") -> DataFrame:
+    """Every key with unchanged / modified / new / gone, by comparing validators.
+
+    Where either side lacks the validator, the content hashes are compared instead.
+    """
+
+    def side(df: DataFrame, prefix: str) -> DataFrame:
+        second = F.col(fallback) if fallback in df.columns else F.lit(None).cast("string")
+        rows = df.select(*KEY, F.col(validator).alias(f"_{prefix}"), second.alias(f"_{prefix}_hash"), F.lit(True).alias(f"_in_{prefix}"))
+        return dedup.one_row_per(rows, KEY)
+
+    old, now = side(index, "old"), side(current, "now")
+    usable = F.col("_old").isNotNull() & F.col("_now").isNotNull()
+    same = F.when(usable, F.col("_old") == F.col("_now")).otherwise(F.col("_old_hash") == F.col("_now_hash"))
     change = (
-        F.when(F.col("_was").isNull(), "new")
-        .when(F.col("_is").isNull(), "gone")
-        .when(F.col("_old").eqNullSafe(F.col("_now")), "unchanged")
+        F.when(F.col("_in_old").isNull(), "new")
+        .when(F.col("_in_now").isNull(), "gone")
+        .when(same, "unchanged")
         .otherwise("modified")
     )
     return old.join(now, KEY, "full").select(*KEY, change.alias("change"))
@@ -113,8 +126,12 @@ def _stamp(index: DataFrame, hit: Column, as_of: Column, values: dict[str, Colum
     return index.withColumns(changed)
 
 
-def set_status(index: DataFrame, changes: DataFrame, as_of: Column) -> DataFrame:
-    """Apply (id, new_status), one row per id; ids that are not in the index do nothing."""
+def set_status(index: DataFrame, changes: DataFrame, as_of: Column, order: list[str] | None = None) -> DataFrame:
+    """Apply (id, new_status); ids that are not in the index do nothing.
+
+    Of several changes of one id the last by ``order`` counts, or the largest status without one.
+    """
+    changes = dedup.one_row_per(changes.select("id", "new_status", *(order or [])), ["id"], order)
     joined = index.join(changes.select("id", "new_status"), "id", "left")
     return _stamp(joined, F.col("new_status").isNotNull(), as_of, {"status": F.col("new_status")}).drop("new_status")
 
@@ -130,7 +147,7 @@ def mark_offline(index: DataFrame, ids: DataFrame, as_of: Column) -> DataFrame:
 
 
 def touch_checked(index: DataFrame, ids: DataFrame, as_of: Column) -> DataFrame:
-    joined = index.join(ids.select("id", F.lit(True).alias("_hit")), "id", "left")
+    joined = index.join(ids.select("id").distinct().withColumn("_hit", F.lit(True)), "id", "left")
     return _stamp(joined, F.col("_hit").isNotNull(), as_of, {"last_checked_at": as_of}).drop("_hit")
 
 

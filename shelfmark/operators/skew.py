@@ -16,11 +16,14 @@ MOST_SPLITS = 4_096
 
 @dataclass(frozen=True)
 class Busy:
-    """Busy values of a join key, and over how many tasks each has to be spread."""
+    """Busy values of a join key, each with the number of tasks it has to be spread over, and the same for rows without a key.
 
-    values: tuple[str, ...] = ()
-    spread_nulls: bool = False
-    splits: int = 1
+    Keys that the sketch leaves out are plain rows of the join; should one of them still be
+    large for its partition, adaptive execution splits that partition.
+    """
+
+    splits: tuple[tuple[str, int], ...] = ()
+    null_splits: int = 1
 
 
 def _marker(keys: list[str]) -> Column:
@@ -29,6 +32,10 @@ def _marker(keys: list[str]) -> Column:
     return F.concat(first, *[F.concat(F.lit("\x1f"), part) for part in others])
 
 
+def _splits(count: int, at_least: int) -> int:
+    return min(MOST_SPLITS, max(2, -(-count // at_least)))
+
+
 def busy_keys(df: DataFrame, *key_sets: list[str], at_least: int = BUSY_ROWS) -> list[Busy]:
     """Busy values of each key set, from one pass over ``df``.
 
@@ -46,9 +53,9 @@ def busy_keys(df: DataFrame, *key_sets: list[str], at_least: int = BUSY_ROWS) ->
     for n in range(len(key_sets)):
         top = [(r["item"], r["count"]) for r in row[f"top{n}"] or [] if r["item"] is not None and r["count"] >= at_least]
         nulls = row[f"nulls{n}"]
-        most = max([count for _, count in top] + [nulls])
-        splits = min(MOST_SPLITS, max(2, -(-most // at_least)))
-        found.append(Busy(tuple(item for item, _ in top), nulls >= at_least, splits))
+        found.append(
+            Busy(tuple((item, _splits(count, at_least)) for item, count in top), _splits(nulls, at_least) if nulls >= at_least else 1)
+        )
     return found
 
 
@@ -61,12 +68,13 @@ def lookup_join(
     row per salt; rows without a key match nothing and are spread the same way.  The
     result is that of the plain join, which is what runs when nothing is busy.
     """
-    if not busy.values and not busy.spread_nulls:
+    if busy == Busy():
         return facts.join(lookup, keys, how)
-    marker = _marker(keys)
-    is_busy = marker.isin(*busy.values) if busy.values else F.lit(False)
-    salt = F.pmod(F.xxhash64(*spread_on), F.lit(busy.splits)).cast("int")
-    left = facts.withColumn("_salt", F.when(F.coalesce(is_busy, F.lit(True)), salt).otherwise(F.lit(0)))
-    copies = F.when(is_busy, F.sequence(F.lit(0), F.lit(busy.splits - 1))).otherwise(F.array(F.lit(0)))
-    right = lookup.withColumn("_salt", F.explode(copies))
+    marker, splits = _marker(keys), F.lit(1)
+    if busy.splits:
+        known = F.create_map(*[F.lit(x) for pair in busy.splits for x in pair])
+        splits = F.coalesce(F.element_at(known, marker), F.lit(1))
+    spread = F.when(marker.isNull(), F.lit(busy.null_splits)).otherwise(splits)
+    left = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread_on), spread).cast("int"))
+    right = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), splits - 1)))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")

@@ -13,10 +13,15 @@ from shelfmark import schemas
 from shelfmark.operators import counters, dedup, ledger, merge
 from shelfmark.plans import refresh
 from shelfmark.plans.records import saved_records
-from shelfmark.session import stage
+from shelfmark.session import stage, staging
+from shelfmark.sources import known_repos
 from shelfmark.sources.index_store import EventLog, IndexStore
 
 
+# What decides between records of one file that arrived in no known order.
+UNORDERED = ["skill_sha", "skill_etag", "name"]
+
+
 @dataclass
 class Run:
     """Who runs: the store to merge into, the ledger to write, and the time that counts as now."""
@@ -33,9 +38,10 @@ class Run:
         self._event("created", task_type=task_type, query_text=text)
         self._event("started")
         try:
-            totals, (found, saved, skipped) = work()
+            with staging(self.store.spark):
+                totals, (found, saved, skipped) = work()
         except Exception as error:
-            self._event("finished", error=str(error)[:2000] or type(error).__name__)
+            self._event("finished", error=str(error) or type(error).__name__)
             raise
         self._event("finished", found=found, saved=saved, skipped=skipped)
         return totals
@@ -55,9 +61,8 @@ class Run:
         def work():
             rows = dispositions()
             records = saved_records(rows, arrival)
-            if arrival:
-                # the merge reads its batch several times, and its true size decides how it joins
-                records = stage(dedup.last_wins(records, schemas.KEY, arrival), "records")
+            # a file may be found on several routes; the merge reads its batch several times, and its true size decides how it joins
+            records = stage(dedup.last_wins(records, schemas.KEY, arrival or UNORDERED), "records")
             old, buckets = self.store.read(), self.store.buckets
             index = merge.upsert(old, records, now, preserve_review=preserve_review, buckets=buckets)
             self.store.publish(index, self.as_of, batch_id, clustered=self.store.version() > 0)
@@ -66,6 +71,12 @@ class Run:
 
         return self._recorded(task_type, text, work)
 
+    def scan(self, known: IndexStore, text: str, scope: DataFrame, dispositions: Callable[[], DataFrame]) -> dict:
+        """A scan of known repositories; those in scope are then stamped in their own store."""
+        totals = self.acquire("repo_tree", text, dispositions)
+        known.publish(known_repos.touch_scanned(known.read(), scope, F.lit(self.as_of)), self.as_of)
+        return totals
+
     def refresh(self, contents: DataFrame, repos: DataFrame, layout: DataFrame, limit: int | None = 100) -> dict:
         """Re-check the rows that waited longest; with none to check it finishes with zeros."""
         now = F.lit(self.as_of)

@@ -14,9 +14,10 @@ from shelfmark.functions import refs
 from shelfmark.functions.coerce import flag01, to_record
 from shelfmark.functions.frontmatter import parse_metadata
 from shelfmark.functions.risk import DEFAULT_RULES, content_flags, risk_flags, risk_level
+from shelfmark.operators.dedup import one_row_per
 from shelfmark.operators.layout import attach_flags, place
 from shelfmark.operators.skew import Busy, busy_keys, lookup_join
-from shelfmark.sources.outcomes import outcome
+from shelfmark.sources.outcomes import final_attempts, outcome
 
 CANDIDATE_COLUMNS = [
     "repo_full_name", "skill_path", "skill_html_url", "skill_api_url",
@@ -25,9 +26,13 @@ CANDIDATE_COLUMNS = [
 
 
 def parse_contents(contents: DataFrame, rules=DEFAULT_RULES) -> DataFrame:
-    """Decoded responses (one per ``api_url``) to metadata and flags, without the text."""
+    """Decoded responses to metadata and flags, one row per ``api_url``, without the text.
+
+    Of several attempts the final one counts (``outcomes.final_attempts``); ``attempt`` is optional.
+    """
     parsed = content_flags(parse_metadata(contents), rules=rules)
-    return parsed.select(
+    attempt = F.col("attempt") if "attempt" in contents.columns else F.lit(1)
+    narrow = parsed.select(
         F.col("api_url").alias("skill_api_url"),
         outcome(F.col("status_code"), F.col("body")).alias("outcome"),
         "meta",
@@ -36,7 +41,9 @@ def parse_contents(contents: DataFrame, rules=DEFAULT_RULES) -> DataFrame:
         F.col("size").cast("int").alias("skill_size"),
         F.col("etag").alias("skill_etag"),
         F.col("last_modified").alias("skill_last_modified"),
+        attempt.cast("int").alias("_attempt"),
     )
+    return final_attempts(narrow, ["skill_api_url"])
 
 
 def busy_candidates(keys: DataFrame) -> tuple[Busy, ...]:
@@ -67,7 +74,7 @@ def build_records(
     """
     by_file, by_repo, by_dir = busy or (Busy(), Busy(), Busy())
     extra = [c for c in candidates.columns if c not in CANDIDATE_COLUMNS]
-    stats = repos.withColumn("_known", F.lit(True))
+    stats = one_row_per(repos, ["repo_full_name"]).withColumn("_known", F.lit(True))
 
     # metadata joins last, so that its wider rows are shuffled once
     files = lookup_join(candidates, stats, ["repo_full_name"], ["skill_path", "skill_api_url"], by_repo)

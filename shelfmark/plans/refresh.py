@@ -9,6 +9,7 @@ from shelfmark import schemas
 from shelfmark.functions.coerce import flag01
 from shelfmark.functions.risk import DEFAULT_RULES, risk_flags, risk_level
 from shelfmark.operators import review
+from shelfmark.operators.dedup import one_row_per
 from shelfmark.operators.layout import FLAGS, attach_flags
 from shelfmark.operators.skew import lookup_join
 from shelfmark.plans.records import busy_candidates, parse_contents
@@ -38,8 +39,12 @@ def plan_refresh(
         "id", "repo_full_name", "skill_path", "skill_api_url",
         F.col("skill_etag").alias("_etag"), *[F.col(c).alias(f"_old_{c}") for c in _STATS],
     )
+    if limit is not None:
+        # at most ``limit`` addresses, so contents that are not due are dropped before anything is parsed
+        asked = due.select(F.col("skill_api_url").alias("api_url")).distinct()
+        contents = contents.join(F.broadcast(asked), "api_url", "left_semi")
     by_file, by_repo, by_dir = busy_candidates(due)
-    stats = repos.select("repo_full_name", *_STATS, "archived", F.lit(True).alias("_stats"))
+    stats = one_row_per(repos.select("repo_full_name", *_STATS, "archived"), ["repo_full_name"]).withColumn("_stats", F.lit(True))
     files = lookup_join(old, stats, ["repo_full_name"], ["id"], by_repo)
     files = attach_flags(files, layout, by_dir)
     files = lookup_join(files, parse_contents(contents, rules), ["skill_api_url"], ["id"], by_file)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import refs
 from shelfmark.functions.risk import DEFAULT_RULES
+from shelfmark.operators.dedup import one_row_per
 from shelfmark.operators.skew import Busy, lookup_join
 from shelfmark.plans.records import build_records, busy_candidates
 from shelfmark.session import stage
@@ -34,7 +35,8 @@ def with_addresses(files: DataFrame, source_type: str) -> DataFrame:
 
 def scan_candidates(tree: DataFrame, scope: DataFrame, repos: DataFrame, busy: Busy = Busy()) -> DataFrame:
     """Manifest files of the repositories in scope; a repository without statistics is passed over."""
-    readable = scope.join(repos.select("repo_full_name", F.col("repo_default_branch").alias("default_branch")), "repo_full_name")
+    branches = one_row_per(repos.select("repo_full_name", F.col("repo_default_branch").alias("default_branch")), ["repo_full_name"])
+    readable = scope.select("repo_full_name").distinct().join(branches, "repo_full_name")
     blobs = manifest_blobs(tree).select("repo_full_name", F.col("path").alias("skill_path"))
     files = lookup_join(blobs, readable, ["repo_full_name"], ["skill_path"], busy, how="inner")
     return with_addresses(files, SOURCE)
@@ -49,7 +51,9 @@ def scan_dispositions(
     as_of: Column,
     rules=DEFAULT_RULES,
 ) -> DataFrame:
-    blobs = manifest_blobs(tree).select("repo_full_name", F.col("path").alias("skill_path"))
-    busy = busy_candidates(with_addresses(blobs.withColumn("default_branch", F.lit("")), SOURCE))
-    files = scan_candidates(tree, scope, repos, busy[1])
+    # the tree is read once; what follows needs only its manifest files
+    blobs = stage(manifest_blobs(tree).select("repo_full_name", "path", "type").distinct(), "manifests")
+    named = blobs.select("repo_full_name", F.col("path").alias("skill_path"), F.lit("").alias("default_branch"))
+    busy = busy_candidates(with_addresses(named, SOURCE))
+    files = scan_candidates(blobs, scope, repos, busy[1])
     return stage(build_records(files, contents, repos, layout, as_of, rules, busy), "dispositions")

@@ -38,7 +38,8 @@ def search_dispositions(
 
     Duplicates go before any content is touched, and only their number survives.
     """
-    hits = landing.search_hits(dedup.readable_pages(pages))
+    # parsed once: the stops, the sketch, the candidates and the rejects all read this
+    hits = landing.search_hits(dedup.readable_pages(stage(pages, "pages")))
     keys = hits.select("repo_full_name", "skill_path", F.col("api_url").alias("skill_api_url"))
     built = build_records(candidates(hits), contents, repos, layout, as_of, rules, busy_candidates(keys))
     rejected = hits.filter(~dedup.has_required_fields()).groupBy(F.lit(SOURCE).alias("source_type"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import refs
 from shelfmark.functions.risk import DEFAULT_RULES
 from shelfmark.functions.text import blank_to_null
+from shelfmark.operators.dedup import one_row_per
 from shelfmark.operators.skew import Busy, busy_keys, lookup_join
 from shelfmark.plans.records import build_records, busy_candidates, count_only
 from shelfmark.plans.scan import manifest_blobs, with_addresses
@@ -42,7 +43,7 @@ def resolve(
     ``trees`` names the repositories whose tree could be read (it may be empty);
     the two ``busy`` tell which repositories fill the targets and the trees.
     """
-    known = repos.select("repo_full_name", F.col("repo_default_branch").alias("default_branch"))
+    known = one_row_per(repos.select("repo_full_name", F.col("repo_default_branch").alias("default_branch")), ["repo_full_name"])
     checked = lookup_join(submitted, known, ["repo_full_name"], ["skill_path"], busy)
     exists = F.col("default_branch").isNotNull()
     has_path = F.col("skill_path").isNotNull()
@@ -57,7 +58,10 @@ def resolve(
     expanded = lookup_join(blobs, scanned, ["repo_full_name"], ["skill_path"], busy_tree, how="inner")
 
     columns = ["repo_full_name", "skill_path", "default_branch", "n_requests"]
-    files = with_addresses(single.select(*columns).unionByName(expanded.select(*columns)), SOURCE)
+    # a file may be asked for by itself and with its whole repository
+    wanted = single.select(*columns).unionByName(expanded.select(*columns))
+    wanted = wanted.groupBy("repo_full_name", "skill_path", "default_branch").agg(F.sum("n_requests").alias("n_requests"))
+    files = with_addresses(wanted, SOURCE)
 
     wrong_path = has_path & ~refs.is_manifest_path(F.col("skill_path"))
     failures = checked.filter(~exists | wrong_path).select(*columns)
@@ -79,8 +83,9 @@ def submit_dispositions(
     # Everything after the parse is as small as the distinct targets and the files they name.
     asked = stage(targets(submissions), "targets")
     [busy] = busy_keys(asked, ["repo_full_name"])
-    [busy_tree] = busy_keys(manifest_blobs(tree), ["repo_full_name"])
-    files, failures = resolve(asked, repos, tree, read, busy, busy_tree)
+    blobs = stage(manifest_blobs(tree).distinct(), "manifests")
+    [busy_tree] = busy_keys(blobs, ["repo_full_name"])
+    files, failures = resolve(asked, repos, blobs, read, busy, busy_tree)
     files = stage(files, "files")
     built = build_records(files, contents, repos, layout, as_of, rules, busy_candidates(files))
     failed = failures.withColumn("source_type", F.lit(SOURCE))

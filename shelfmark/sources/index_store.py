@@ -2,7 +2,8 @@
 
 A version is an ordinary Parquet directory.  It becomes current when its row in
 the commit log is written, so readers never see half a version and a failed job
-leaves nothing behind that counts.  One writer at a time is assumed.
+leaves nothing behind that counts.  The row of a version has a directory of its
+own, which a second writer of that version finds taken: it is refused.
 """
 
 from __future__ import annotations
@@ -16,6 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark import schemas
+from shelfmark.session import remove
+
+
+class ConcurrentWriter(RuntimeError):
+    """Another writer has committed the version that was being written."""
+
 
 class EventLog:
     """Append-only rows of one schema."""
@@ -26,9 +33,13 @@ class EventLog:
     def append(self, rows: DataFrame) -> None:
         rows.select(*self.schema.names).coalesce(1).write.mode("append").json(self.path)
 
+    def append_once(self, rows: DataFrame, name: str) -> None:
+        """Append under a name; fails if the name is taken."""
+        rows.select(*self.schema.names).coalesce(1).write.mode("errorifexists").json(f"{self.path}/{name}")
+
     def read(self) -> DataFrame:
         try:
-            return self.spark.read.schema(self.schema).json(self.path)
+            return self.spark.read.schema(self.schema).option("recursiveFileLookup", True).json(self.path)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -106,9 +117,23 @@ class IndexStore:
         else:
             rows.write.parquet(path)
         commit = [(version, path, batch_id, self.buckets, as_of)]
-        self.commits.append(self.spark.createDataFrame(commit, schemas.COMMITS))
+        try:
+            self.commits.append_once(self.spark.createDataFrame(commit, schemas.COMMITS), f"v{version:08d}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+            raise ConcurrentWriter(f"version {version} was written by another writer meanwhile") from error
         return version
 
+    def remove_old(self, keep: int = 2) -> list[int]:
+        """Remove the files and tables of all but the last ``keep`` versions; the commit log stays."""
+        old = self.commits.read().orderBy(F.col("version").desc()).select("version", "path", "buckets").collect()[max(1, keep) :]
+        for row in old:
+            if row["buckets"]:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self._table(row['path'])}")
+            remove(self.spark, row["path"])
+        return [row["version"] for row in old]
+
 
 def export_csv(index: DataFrame, path: str) -> None:
     """CSV with a header; lists become JSON text because CSV has none."""

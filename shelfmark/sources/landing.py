@@ -67,10 +67,13 @@ def decode_base64(df: DataFrame, content: Column, encoding: Column) -> DataFrame
     tail, over = F.rtrim(F.col("_b64"), F.lit("\r\n ")), F.octet_length("_bytes") % 3
     padded = F.when(over == 0, True).when(over == 1, tail.endswith("==")).otherwise(tail.endswith("="))
     raw = F.col("_raw")
-    # U+FFFD marks what was invalid, so one that the text itself holds steps aside meanwhile
-    aside = F.replace(raw, F.lit("\ufffd"), F.lit("\ufdd0"))
-    cleaned = F.replace(F.make_valid_utf8(aside), F.lit("\ufffd"), F.lit(""))
-    text = F.when(F.is_valid_utf8(raw), raw).otherwise(F.replace(cleaned, F.lit("\ufdd0"), F.lit("\ufffd")))
+    # U+FFFD marks what was invalid, so one that the text itself holds steps aside meanwhile: U+FDD0 is
+    # written as U+FDD0 0 and U+FFFD as U+FDD0 1, which can be told apart again
+    spare, bad = "\ufdd0", "\ufffd"
+    aside = F.replace(F.replace(raw, F.lit(spare), F.lit(spare + "0")), F.lit(bad), F.lit(spare + "1"))
+    cleaned = F.replace(F.make_valid_utf8(aside), F.lit(bad), F.lit(""))
+    back = F.replace(F.replace(cleaned, F.lit(spare + "1"), F.lit(bad)), F.lit(spare + "0"), F.lit(spare))
+    text = F.when(F.is_valid_utf8(raw), raw).otherwise(back)
     return (
         df.withColumn("_b64", F.when(encoding == "base64", content))
         .withColumn("_bytes", decoded)

@@ -20,6 +20,7 @@ def outcome(status: Column, body: Column) -> Column:
         .when(status == 429, "rate_limited")
         .when(status >= 500, "server_error")
         .when(status >= 400, "http_error")
+        .when(status.isNull(), "http_error")
         .otherwise("ok")
     )
 
@@ -42,6 +43,26 @@ def final_outcomes(attempts: DataFrame, request: list[str], max_attempts: int =
     )
 
 
+def final_attempts(responses: DataFrame, request: list[str], max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+    """Of the attempts (``_attempt``, ``outcome``) of each request the row it ends with, without ``_attempt``.
+
+    That is the first terminal attempt, else the last allowed one; a success stands before
+    other ends of the same attempt, and equal ones give the largest row.
+    """
+    allowed = F.col("_attempt") <= max_attempts
+    ends = allowed & F.col("outcome").isin(TERMINAL)
+    rest = [c for c in responses.columns if c not in request]
+    row = F.struct(*rest)
+    place = F.struct(
+        ends,
+        F.when(ends, -F.col("_attempt")).otherwise(F.when(allowed, F.col("_attempt")).otherwise(F.lit(0))),
+        F.col("outcome") == "ok",
+        row,
+    )
+    best = responses.groupBy(*request).agg(F.max_by(row, place).alias("_row"))
+    return best.select(*request, "_row.*").drop("_attempt").select(*[c for c in responses.columns if c != "_attempt"])
+
+
 def rate_budget(log: DataFrame) -> DataFrame:
     """Seconds a caller should have waited after each response (``remaining``, ``reset``, ``at`` epochs)."""
     gap = F.greatest(F.col("reset") - F.col("at"), F.lit(0))

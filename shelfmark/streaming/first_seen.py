@@ -2,20 +2,60 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from shelfmark import schemas
 from shelfmark.operators import dedup
+from shelfmark.session import stage
+
+ARRIVAL = ["seen_at", *dedup.ARRIVAL]
+
 
 def hit_stream(spark: SparkSession, landing_dir: str) -> DataFrame:
     return spark.readStream.schema(schemas.HITS).json(landing_dir)
 
 
-def first_seen_stream(hits: DataFrame, remember: str = "30 days") -> DataFrame:
-    """Hits whose key was not seen within ``remember``.
+class FirstSeen:
+    """Keys that were seen, and the hits that were first, in a folder of their own.
 
-    State expires with the watermark; a later repeat gets through and is absorbed
-    by the key of the merge.
+    Nothing expires: a key counts as new until it is stored, however late its hit arrives.
+    Every batch writes a directory named by its number, so a batch that is replayed writes
+    the same again.
     """
-    keyed = hits.filter(dedup.has_required_fields()).withColumn("hit_key", dedup.hit_key())
-    return keyed.withWatermark("seen_at", remember).dropDuplicatesWithinWatermark(["hit_key"])
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
+
+    def firsts(self) -> DataFrame:
+        """Every key with its first hit, in order of batches."""
+        columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.HITS.fields)
+        return self._read("firsts", f"batch long, hit_key string, n_seen long, {columns}")
+
+    def rejected(self) -> DataFrame:
+        """How many hits of each batch lacked a required field."""
+        return self._read("rejected", "batch long, n long")
+
+    def add(self, hits: DataFrame, batch: int) -> None:
+        """Store the first hit of every key that no earlier batch holds."""
+        hits = stage(hits.select(*schemas.HITS.names), "hits")
+        new = dedup.first_seen(hits.filter(dedup.has_required_fields()), arrival=ARRIVAL)
+        known = self.firsts().filter(F.col("batch") < batch).select("hit_key")
+        fresh = new.join(known, "hit_key", "left_anti").select("hit_key", "n_seen", *schemas.HITS.names)
+        fresh.write.mode("overwrite").parquet(f"{self.root}/firsts/batch={batch}")
+        lacking = hits.filter(~dedup.has_required_fields()).agg(F.count("*").alias("n"))
+        lacking.write.mode("overwrite").parquet(f"{self.root}/rejected/batch={batch}")
+
+    def run(self, hits: DataFrame, checkpoint: str) -> StreamingQuery:
+        """Take all hits that arrived since the last run, then stop."""
+        return hits.writeStream.foreachBatch(self.add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -109,6 +109,46 @@ def test_bucketed_index_is_not_shuffled_by_a_merge(spark, shared):
     assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
 
 
+def test_a_second_writer_is_refused_and_old_versions_go(spark, shared):
+    import os
+
+    store = index_store.IndexStore(spark, f"{shared}/index")
+    store.publish(index(spark), T0)
+    late = index_store.IndexStore(spark, f"{shared}/index")
+    late.version = lambda: 0  # it looked before the first one had committed
+    with pytest.raises(index_store.ConcurrentWriter):
+        late.publish(index(spark).limit(0), T0)
+    assert store.version() == 1 and store.read().count() == index(spark).count()
+    for _ in range(2):
+        store.publish(store.read(), T1)
+    assert store.remove_old(keep=1) == [2, 1]
+    assert store.read().count() == index(spark).count()
+    assert len([d for d in os.listdir(f"{shared}/index/versions") if not d.startswith(".") and "v00000003" in d]) == 1
+
+
+def test_repeated_ids_and_keys_do_not_double_rows(spark):
+    base = index(spark)
+    n = base.count()
+    some = base.select("id").limit(1).first()["id"]
+    changes = spark.createDataFrame([(some, "approved", 1), (some, "rejected", 2), (some, "approved", 0)], "id long, new_status string, at int")
+    after = merge.set_status(base, changes, F.lit(T1), ["at"])
+    assert after.count() == n and after.filter(F.col("id") == some).first()["status"] == "rejected"
+    for touched in (merge.mark_offline(base, changes, F.lit(T1)), merge.touch_checked(base, changes, F.lit(T1))):
+        assert touched.count() == n
+    one = base.filter(F.col("id") == some).select("repo_full_name", "skill_path", "skill_sha")
+    twice = one.unionByName(one.withColumn("skill_sha", F.lit("zz")))
+    upserted = merge.upsert(base, twice, F.lit(T1))
+    assert upserted.count() == n and upserted.filter(F.col("id") == some).first()["skill_sha"] == "zz"
+
+
+def test_change_classes_fall_back_to_the_hash(spark):
+    columns = "repo_full_name string, skill_path string, skill_etag string, skill_sha string"
+    old = spark.createDataFrame([("r", "a", "e", "s"), ("r", "b", None, "s"), ("r", "c", None, "s"), ("r", "d", "e", "s"), ("r", "g", "e", "s")], columns)
+    now = spark.createDataFrame([("r", "a", "e", "t"), ("r", "b", "x", "s"), ("r", "c", None, "t"), ("r", "d", "f", "s"), ("r", "n", "e", "s")], columns)
+    got = {r["skill_path"]: r["change"] for r in merge.change_classes(old, now).collect()}
+    assert got == {"a": "unchanged", "b": "unchanged", "c": "modified", "d": "modified", "g": "gone", "n": "new"}
+
+
 def test_a_failed_publish_leaves_the_last_version(spark, shared):
     store = index_store.IndexStore(spark, shared)
     store.publish(index(spark), T0)

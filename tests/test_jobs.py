@@ -1,6 +1,6 @@
 import base64
 import json
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,45 +133,103 @@ def fetched(spark, files, start=0):
     return spark.createDataFrame(rows, schemas.FETCHED)
 
 
-def test_ingest_merges_each_file_once_and_equals_the_batch(spark, world, shared):
+def test_a_run_folds_its_micro_batches_once(spark, world, shared):
     store = index_store.IndexStore(spark, f"{shared}/index")
+    pending = ingest.Pending(store, "files")
 
-    def run():
-        query = ingest.ingest(spark, f"{shared}/landing", f"{shared}/checkpoint", store, lambda: world["repos"], lambda: world["layout"], NOW)
-        query.awaitTermination()
-        return store.version()
+    def run(max_files=None):
+        return ingest.ingest(spark, f"{shared}/landing", f"{shared}/checkpoint", pending, lambda: world["repos"], lambda: world["layout"], NOW, max_files)
 
-    fetched(spark, FILES).coalesce(1).write.json(f"{shared}/landing")
-    assert run() == 1 and run() == 1
+    fetched(spark, FILES).repartition(3).write.json(f"{shared}/landing")
+    assert run(max_files=1) == 1, "several micro-batches make one version"
+    assert run() == 1, "nothing new, no new version"
     again = fetched(spark, [("o/a", "x/SKILL.md", 200, GOOD.format("older")), ("o/a", "x/SKILL.md", 200, GOOD.format("newer"))], 10)
     again.coalesce(1).write.mode("append").json(f"{shared}/landing")
     assert run() == 2
     assert {r["name"] for r in store.read().collect()} == {"newer", "W", "v"}
 
-    batch = index_store.IndexStore(spark, f"{shared}/batch")
-    for part in (fetched(spark, FILES), again):
-        ingest.merge_fetched(batch, part, world["repos"], world["layout"], NOW)
+    other = index_store.IndexStore(spark, f"{shared}/batch")
+    kept = ingest.Pending(other, "files")
+    for n, part in enumerate((fetched(spark, FILES), again)):
+        records = ingest.fetched_records(part, world["repos"], world["layout"], NOW)
+        kept.add(records, n)
+        kept.add(records, n)  # a batch that is replayed
+        assert kept.fold(NOW) == n + 1
+    assert kept.fold(NOW) == 2
     rows = lambda s: sorted(map(repr, s.read().collect()))
-    assert rows(batch) == rows(store)
-    # a batch replayed after a crash between merge and checkpoint
-    assert ingest.merge_fetched(store, again, world["repos"], world["layout"], NOW, batch_id=f"{shared}/checkpoint#1") == 2
+    assert rows(other) == rows(store)
 
 
 def test_first_seen_across_runs(spark, shared):
+    seen = first_seen.FirstSeen(spark, f"{shared}/seen")
+
     def land(*hits):
-        rows = [(datetime(2024, 1, day), 1, 1, 0, "o/r", path, f"h{path}", "u") for day, path in hits]
+        rows = [(datetime(2024, 6, 1) + timedelta(days=day), 1, 1, 0, "o/r", path, f"h{path}", api) for day, path, api in hits]
         spark.createDataFrame(rows, schemas.HITS).coalesce(1).write.mode("append").json(f"{shared}/landing")
 
     def run():
-        stream = first_seen.first_seen_stream(first_seen.hit_stream(spark, f"{shared}/landing")).select("hit_key")
-        writer = stream.writeStream.format("parquet").option("checkpointLocation", f"{shared}/checkpoint")
-        writer.trigger(availableNow=True).start(f"{shared}/out").awaitTermination()
-        return sorted(r["hit_key"] for r in spark.read.parquet(f"{shared}/out").collect())
+        seen.run(first_seen.hit_stream(spark, f"{shared}/landing"), f"{shared}/checkpoint").awaitTermination()
+        return sorted(r["hit_key"] for r in seen.firsts().collect())
 
-    land((1, "a"), (1, "b"), (2, "a"))
+    assert seen.firsts().count() == seen.rejected().count() == 0
+    land((1, "a", "u"), (1, "b", "u"), (2, "a", "u"), (2, "z", None))
     assert run() == ["ha", "hb"]
-    land((3, "b"), (3, "c"))
-    assert run() == ["ha", "hb", "hc"]
+    # a repeat, a new key, and a new key that was seen long before
+    land((3, "b", "u"), (3, "c", "u"), (-150, "late", "u"))
+    assert run() == ["ha", "hb", "hc", "hlate"]
+    assert {(r["batch"], r["n"]) for r in seen.rejected().collect()} == {(0, 1), (1, 0)}
+    batch = seen.firsts().filter("batch = 1").select(*schemas.HITS.names)
+    seen.add(batch, 1)  # replayed
+    assert run() == ["ha", "hb", "hc", "hlate"]
+
+
+def test_files_found_twice_are_one_row_however_often_the_job_runs(spark, world, shared):
+    store = index_store.IndexStore(spark, f"{shared}/index")
+    log = index_store.EventLog(spark, f"{shared}/runs")
+    asked = spark.createDataFrame([("o/a",), ("https://github.com/o/a/blob/main/x/SKILL.md",), ("o/a",)], "url string")
+    twice = {k: world[k].unionByName(world[k]) for k in ("tree", "contents", "repos")}
+
+    def route():
+        return submit.submit_dispositions(asked, twice["tree"], twice["contents"], twice["repos"], world["layout"], world["as_of"])
+
+    for n in range(2):
+        got = jobs.Run(store, log, n, NOW).acquire("user_submit", "q", route)
+        rows = store.read().select("id", *schemas.KEY).collect()
+        assert len(rows) == len({(r[1], r[2]) for r in rows}) == len({r[0] for r in rows})
+        # three requests for x, two for each other file of o/a
+        assert got["total_found"] == 3 + 2 * 2
+    scanned = scan.scan_dispositions(twice["tree"], spark.createDataFrame([("o/a",), ("o/a",)], "repo_full_name string"), twice["contents"], twice["repos"], world["layout"], world["as_of"])
+    assert scanned.groupBy(*schemas.KEY).count().filter("count > 1").count() == 0
+
+
+def test_a_scan_stamps_the_repositories_in_scope(spark, world, shared):
+    known = index_store.IndexStore(spark, f"{shared}/known", schema=schemas.KNOWN_REPOS)
+    rows = spark.createDataFrame([("o/a", 1), ("o/z", 1)], "repo_full_name string, scan_enabled int")
+    known.publish(rows, NOW)
+    run = jobs.Run(index_store.IndexStore(spark, f"{shared}/index"), index_store.EventLog(spark, f"{shared}/runs"), 1, NOW)
+    scope = spark.createDataFrame([("o/a",)], "repo_full_name string")
+    run.scan(known, "one", scope, lambda: scan.scan_dispositions(world["tree"], scope, world["contents"], world["repos"], world["layout"], world["as_of"]))
+    assert {r["repo_full_name"]: r["last_scanned_at"] for r in known.read().collect()} == {"o/a": NOW, "o/z": None}
+
+
+def test_the_whole_error_is_kept(spark, shared):
+    store, log = index_store.IndexStore(spark, f"{shared}/index"), index_store.EventLog(spark, f"{shared}/runs")
+    message = "long " * 2000
+    with pytest.raises(RuntimeError):
+        jobs.Run(store, log, 1, NOW).acquire("code_search", "q", lambda: (_ for _ in ()).throw(RuntimeError(message)))
+    assert ledger.current_state(log.read()).first()["error_message"] == message
+
+
+def test_staged_folders_go_with_the_run(spark, shared):
+    import os
+
+    from shelfmark import session
+
+    with session.staging(spark):
+        rows = session.stage(spark.range(3), "mine")
+        path = rows.inputFiles()[0].removeprefix("file:")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
 
 
 def test_text_is_parsed_once_and_never_shuffled(spark, world):

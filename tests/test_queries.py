@@ -4,18 +4,21 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from catalog_queries import ORACLES, QUERIES
 from check_queries import TABLES, rows
 
 SF = "/root/testdata/sf0.001"
 SOME = [
     "f2_front_matter_fields", "f4_fallback_description", "f13_risk_flags", "p8_parse_failures", "s2_file_contents", "s8_export_csv",
     "o2_final_outcomes", "j1_repo_stats", "j3_tree_flags", "a6_directory_counts", "w1_first_seen", "w3_last_wins", "m1_upsert",
-    "t6_due_for_check", "c6_record_builder", "c4_effects",
+    "t6_due_for_check", "c6_record_builder", "c4_effects", "m2_repeated_ids", "j4_change_classes", "j7_with_retries", "f13_extended_rules",
+    "c3_submission_job", "r2_first_seen_across_runs",
 ]
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):

@@ -118,3 +118,9 @@ def test_paths_and_addresses(spark):
     assert column(spark, ["o/r", "plain"], refs.repo_name(x())) == ["r", ""]
     assert column(spark, ["o/r"], refs.raw_url(x(), F.lit("main"), F.lit("p"))) == ["https://raw.githubusercontent.com/o/r/main/p"]
     assert column(spark, ["o"], refs.full_name(x(), F.lit(""))) == [""]
+
+
+def test_flags_may_hold_commas(spark):
+    rules = (risk.RiskRule("one, two", risk.keyword_flag("one, two")),)
+    df = spark.createDataFrame([("say One, two!",), ("no",)], "content string")
+    assert [r["content_flags"] for r in risk.content_flags(df, rules=rules).collect()] == [["one,_two"], []]

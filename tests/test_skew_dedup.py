@@ -15,10 +15,10 @@ def skewed(spark, n=30_000):
 
 def test_sketch_finds_the_busy_key_and_the_nulls(spark):
     one, two, unique = busy_keys(skewed(spark), ["k"], ["k", "half"], ["id"], at_least=2_000)
-    assert one.values == ("hot",) and one.spread_nulls and one.splits == 5
+    assert [item for item, _ in one.splits] == ["hot"] and one.splits[0][1] > 1 and one.null_splits > 1
     assert set(two.values) == {"hot\x1f0", "hot\x1f1"}
-    assert unique == Busy((), False, 2)
-    assert busy_keys(skewed(spark), ["k"])[0].values == ()
+    assert unique == Busy()
+    assert busy_keys(skewed(spark), ["k"])[0] == Busy()
 
 
 def test_salted_join_is_the_plain_join(spark):
@@ -37,7 +37,7 @@ def test_a_busy_key_is_spread(spark):
     for key, value in settings.items():
         spark.conf.set(key, value)
     try:
-        joined = lookup_join(facts, lookup, ["k"], ["id"], Busy(("hot",), True, 64))
+        joined = lookup_join(facts, lookup, ["k"], ["id"], Busy((("hot", 64),), 64))
         sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
     finally:
         for key in settings:

@@ -99,3 +99,23 @@ def test_scope_and_seeds(spark):
     assert len(names(known_repos.with_seeds(known.filter("false"), now))) == 2
     touched = known_repos.touch_scanned(known, spark.createDataFrame([("c/d",), ("x/y",)], "repo_full_name string"), now)
     assert {r["repo_full_name"]: r["last_scanned_at"] is not None for r in touched.collect()} == {"a/b": False, "c/d": True}
+
+
+def test_noncharacters_stay_and_broken_bytes_go(spark):
+    import base64
+
+    rows = [("a ﷐ b ".encode() + b"\xff \xef\xbf\xbd",), ("﷐0﷐1".encode() + b"\xc3",), ("﷐".encode(),)]
+    df = spark.createDataFrame([(base64.b64encode(b).decode(),) for (b,) in rows], "c string")
+    got = [r["content"] for r in landing.decode_base64(df, F.col("c"), F.lit("base64")).collect()]
+    assert got == ["a ﷐ b  �", "﷐0﷐1", "﷐"]
+
+
+def test_a_response_without_status_is_an_error(spark):
+    df = spark.createDataFrame([(None,), (200,)], "s int")
+    assert [r[0] for r in df.select(outcomes.outcome(F.col("s"), F.lit(None))).collect()] == ["http_error", "ok"]
+
+
+def test_final_attempt_of_each_request(spark):
+    rows = [("a", 1, "server_error", "x"), ("a", 2, "ok", "y"), ("a", 3, "not_found", "z"), ("b", 1, "server_error", "x"), ("b", 3, "rate_limited", "y"), ("b", 9, "ok", "z"), ("c", 1, "ok", "p"), ("c", 1, "ok", "q")]
+    df = spark.createDataFrame(rows, "u string, _attempt int, outcome string, v string")
+    assert {r["u"]: r["v"] for r in outcomes.final_attempts(df, ["u"], 3).collect()} == {"a": "y", "b": "y", "c": "q"}
