@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from shelfmark.llm.common import per_text
 
 DIGEST = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-# Chunks and words that a process remembers; beyond that it starts anew.
-REMEMBERED = 250_000
+# Chunks and words that a process remembers: the first ones, among which are the frequent ones.
+REMEMBERED_CHUNKS, REMEMBERED_WORDS = 150_000, 300_000
 LONGEST_REMEMBERED = 64
 _NEVER = 1 << 60
 
@@ -103,14 +103,19 @@ class Tokenizer:
         return self._merge_short(ids) if len(ids) <= 40 else self._merge_long(ids)
 
     def _merge_short(self, ids: list[int]) -> list[int]:
-        rank = self.rank.get
-        while len(ids) > 1:
-            ranks = [rank(a << 20 | b, _NEVER) for a, b in zip(ids, ids[1:])]
+        rank, merged = self.rank.get, self.merged
+        ranks = [rank(a << 20 | b, _NEVER) for a, b in zip(ids, ids[1:])]
+        while ranks:
             least = min(ranks)
             if least == _NEVER:
                 break
             at = ranks.index(least)
-            ids[at : at + 2] = [self.merged[least]]
+            new = ids[at] = merged[least]
+            del ids[at + 1], ranks[at]
+            if at:
+                ranks[at - 1] = rank(ids[at - 1] << 20 | new, _NEVER)
+            if at < len(ranks):
+                ranks[at] = rank(new << 20 | ids[at + 1], _NEVER)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -142,16 +147,16 @@ class Tokenizer:
                 stream = WordTransducer(self)
                 return tuple(chain(stream.push(data), stream.finish()))
             known = tuple(self.merge([self.inner[b] for b in data[:-1]] + [self.final[data[-1]]]))
-            if len(self.words) >= REMEMBERED:
-                self.words.clear()
-            self.words[word] = known
+            if len(self.words) < REMEMBERED_WORDS:
+                self.words[word] = known
         return known
 
     def stretch(self, text: str) -> tuple[int, ...]:
         """The tokens of text without special tokens."""
         for step in self.steps:
             text = step(text)
-        return tuple(chain.from_iterable(self.word(m.group()) for m in self.split.finditer(text)))
+        words = self.split.findall(text)
+        return self.word(words[0]) if len(words) == 1 else tuple(chain.from_iterable(map(self.word, words)))
 
     def parts(self, text: str) -> Iterator[tuple[int, ...]]:
         """The tokens of a text, one chunk between white space after another."""
@@ -197,9 +202,7 @@ class _Chunks(dict):
 
     def __missing__(self, chunk: str) -> tuple[int, ...]:
         ids = self.tokenizer.stretch(chunk)
-        if len(chunk) <= LONGEST_REMEMBERED:
-            if len(self) >= REMEMBERED:
-                self.clear()
+        if len(self) < REMEMBERED_CHUNKS and len(chunk) <= LONGEST_REMEMBERED:
             self[chunk] = ids
         return ids
 
