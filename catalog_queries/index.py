@@ -7,6 +7,7 @@ from catalog_queries.registry import as_of, query, text_time
 from shelfmark import schemas
 from shelfmark.operators import ledger, merge, review
 from shelfmark.sources import known_repos
+from shelfmark.sources.index_store import conform
 
 _TIMES = ["last_checked_at", "first_found_at", "created_at", "updated_at"]
 
@@ -43,7 +44,7 @@ def _batch(i):
 
 @query("m1_upsert", _upsert_sql("CASE WHEN b.skill_path IS NULL THEN x.status ELSE b.status END"))
 def _(i):
-    return _shown(merge.upsert(i.skill_index, _batch(i), as_of()))
+    return _shown(merge.upsert(conform(i.skill_index), _batch(i), as_of()))
 
 
 @query(
@@ -51,7 +52,7 @@ def _(i):
     _upsert_sql("CASE WHEN b.skill_path IS NULL OR x.status IN ('approved', 'rejected', 'risky') THEN x.status ELSE b.status END"),
 )
 def _(i):
-    return _shown(merge.upsert(i.skill_index, _batch(i), as_of(), preserve_review=True))
+    return _shown(merge.upsert(conform(i.skill_index), _batch(i), as_of(), preserve_review=True))
 
 
 # every document asks for the row twice its number, so that half of the ids are unknown

@@ -2,12 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog_queries.views import Inputs
+from catalog_queries.views import LANDED, VIEWS, Inputs
+
+RESPONSES: dict[str, Callable[[Inputs], DataFrame]] = {}
+
+
+def _landed(build: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
+    name = f"landed_{build.__name__}"
+    RESPONSES[name] = build
+    return functools.wraps(build)(lambda inputs: inputs.landed(name, lambda: build(inputs)))
+
+
+def land(spark: SparkSession, sf_dir: str, root: str, files: int) -> None:
+    """Write every view and every kind of response once; queries over ``sf_dir`` read those files from then on."""
+    inputs = Inputs(spark, sf_dir)
+    for name in VIEWS:
+        getattr(inputs, name).repartition(files).write.parquet(f"{root}/{name}")
+    for name, build in RESPONSES.items():
+        build(inputs).repartition(files).write.parquet(f"{root}/{name}")
+    LANDED[sf_dir] = root
 
 
+@_landed
 def search_responses(inputs: Inputs) -> DataFrame:
     """One response per page of at most 50 hits; some pages failed, some are empty."""
     pages = inputs.search_pages
@@ -32,6 +54,7 @@ def search_responses(inputs: Inputs) -> DataFrame:
     return full.select("query_idx", "page", "status_code", body.alias("payload"))
 
 
+@_landed
 def content_responses(inputs: Inputs) -> DataFrame:
     body = F.struct(
         F.base64(F.col("content").cast("binary")).alias("content"),
@@ -46,6 +69,7 @@ def content_responses(inputs: Inputs) -> DataFrame:
     )
 
 
+@_landed
 def repo_responses(inputs: Inputs) -> DataFrame:
     body = F.struct(
         F.col("stars").alias("stargazers_count"),
@@ -58,6 +82,7 @@ def repo_responses(inputs: Inputs) -> DataFrame:
     return inputs.repo_responses.select("repo_full_name", "status_code", F.lit("").alias("body"), F.to_json(body).alias("payload"))
 
 
+@_landed
 def tree_responses(inputs: Inputs) -> DataFrame:
     """One response per repository subtree (the part below one directory)."""
     folder = F.regexp_extract("path", r"\A(skills/[^/]+)", 1)
@@ -66,6 +91,7 @@ def tree_responses(inputs: Inputs) -> DataFrame:
     return grouped.select("repo_full_name", F.lit(200).alias("status_code"), F.to_json(F.struct("tree")).alias("payload"))
 
 
+@_landed
 def listing_responses(inputs: Inputs) -> DataFrame:
     """One response per directory; a nineteenth are a lone object, as for a file."""
     items = inputs.listing_items.groupBy("doc_id", "repo_full_name", "dir").agg(

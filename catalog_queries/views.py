@@ -7,6 +7,7 @@ whole tables.  ``{each:…}`` makes one row per listed number.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -158,6 +159,10 @@ def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql("WITH " + ",\n".join(parts) + "\n" + sql)
 
 
+# Where the views of a data directory were landed as files, if they were.
+LANDED: dict[str, str] = {}
+
+
 class Inputs:
     """The views as frames: ``inputs.skill_files``."""
 
@@ -165,6 +170,14 @@ class Inputs:
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
+        if name in VIEWS and self.sf_dir in LANDED:
+            return self.spark.read.parquet(f"{LANDED[self.sf_dir]}/{name}")
         if name in VIEWS or name in TABLES:
             return frame(self.spark, self.sf_dir, f"SELECT * FROM {name}")
         raise AttributeError(name)
+
+    def landed(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """Responses by name: the landed files, if there are any."""
+        if self.sf_dir in LANDED:
+            return self.spark.read.parquet(f"{LANDED[self.sf_dir]}/{name}")
+        return build()
