@@ -1,7 +1,8 @@
 """Front matter to typed metadata.
 
-YAML typing is the one piece that column expressions cannot express, so the block
-(never the whole text) goes through one Arrow-batched function.
+Nearly all blocks are flat: ``key: words`` and lists of words.  Column expressions read
+those.  YAML beyond that (typed, quoted or nested values) is what they cannot express, so
+such blocks, and never the whole text, go through one Arrow-batched function.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ FRONT_MATTER_TYPE = (
     "name STRING, description STRING, license STRING, compatibility STRING, "
     "allowed_tools ARRAY<STRING>, frontmatter_json STRING, broken BOOLEAN"
 )
+FRONT_MATTER_STRUCT = f"struct<{FRONT_MATTER_TYPE.replace(' ', ':').replace(',:', ',')}>"
 
 
 def _reader():
@@ -85,13 +87,68 @@ def _reader():
     return read_blocks
 
 
-def front_matter(block: Column) -> Column:
-    """Struct of the known fields, the whole mapping as JSON, and whether loading broke."""
+_KEY = r"[A-Za-z][A-Za-z0-9_-]*"
+_WORDS = r"[A-Za-z](?:[A-Za-z0-9 ,./_()-]*[A-Za-z0-9,./_()-])?"
+_FLAT = rf"\A(?:{_KEY}: {_WORDS}\n|{_KEY}:\n(?:  - {_WORDS}\n)*)+\z"
+# words that YAML reads as something else
+_TYPED = "(?:" + "|".join(f"{w}|{w.capitalize()}|{w.upper()}" for w in ("true", "false", "yes", "no", "on", "off", "null")) + ")"
+_NOT_FLAT = [
+    rf"(?m)^{_TYPED}:",
+    rf"(?m)(?:: |^  - ){_TYPED}$",
+    r"(?m)^(?:name|description|license|compatibility):\n  - ",
+    rf"(?ms)^({_KEY}):.*^\1:",
+]
+_ITEM = "\x01"
+
+
+def is_flat(block: Column) -> Column:
+    """Whether column expressions read the block; false for NULL."""
+    flat = F.concat(block, F.lit("\n")).rlike(_FLAT)
+    for pattern in _NOT_FLAT:
+        flat = flat & ~block.rlike(pattern)
+    return F.coalesce(flat, F.lit(False))
+
+
+def read_flat(block: Column) -> Column:
+    """What the YAML reader gives for a flat block."""
+    listed = F.regexp_replace(block, r"\n  - ([^\n]+)", _ITEM + '"$1"')
+    lists = F.regexp_replace(listed, rf'(?m)^({_KEY}):((?:{_ITEM}"[^"\n]*")+)$', '"$1": [$2]')
+    lists = F.replace(F.replace(lists, F.lit("[" + _ITEM), F.lit("[")), F.lit(_ITEM), F.lit(", "))
+    words = F.regexp_replace(lists, rf"(?m)^({_KEY}): ([^\n]+)$", '"$1": "$2"')
+    pairs = F.regexp_replace(words, rf"(?m)^({_KEY}):$", '"$1": null')
+
+    def text(key: str) -> Column:
+        return F.nullif(F.regexp_extract(block, rf"(?m)^{key}: ([^\n]+)$", 1), F.lit(""))
+
+    def tools(key: str) -> Column:
+        items = F.regexp_extract(listed, rf'(?m)^{key}:((?:{_ITEM}"[^"\n]*")+)$', 1)
+        many = F.split(F.substring(items, F.lit(3), F.length(items) - 3), f'"{_ITEM}"')
+        return F.when(items != "", many).when(text(key).isNotNull(), F.array(text(key)))
+
+    return F.struct(
+        *[text(key).alias(key) for key in ("name", "description", "license", "compatibility")],
+        F.coalesce(tools("allowed-tools"), tools("allowed_tools"), F.array().cast("array<string>")).alias("allowed_tools"),
+        F.concat(F.lit("{"), F.replace(pairs, F.lit("\n"), F.lit(", ")), F.lit("}")).alias("frontmatter_json"),
+        F.lit(False).alias("broken"),
+    ).cast(FRONT_MATTER_STRUCT)
+
+
+def read_yaml(block: Column) -> Column:
+    """The same for any block, by the YAML reader; for NULL the fields of an empty mapping."""
     if yaml is None:
         raise RuntimeError("PyYAML is needed to read front matter; ship it with the job")
     return F.pandas_udf(_reader(), FRONT_MATTER_TYPE)(block)
 
 
+def front_matter(block: Column) -> Column:
+    """Struct of the known fields, the whole mapping as JSON, and whether loading broke.
+
+    Only blocks that are not flat enter Python.
+    """
+    flat = is_flat(block)
+    return F.when(flat, read_flat(block)).otherwise(read_yaml(F.when(~flat, block)))
+
+
 def parse_metadata(df: DataFrame, content: str = "content") -> DataFrame:
     """Add ``meta`` (NULL when the file is unusable) next to the text.
 

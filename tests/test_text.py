@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from shelfmark.functions import frontmatter
 from shelfmark.functions import text as tx
 from shelfmark.functions.frontmatter import front_matter, parse_metadata
 from tests.conftest import column
@@ -124,3 +125,31 @@ def test_validity(spark):
     df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, a string, b string")
     got = df.select("k", F.coalesce(tx.is_valid_metadata(F.col("a"), F.col("b")), F.lit(False)).alias("v")).orderBy("k").collect()
     assert [r["v"] for r in got] == [True, False, False, False, False, False, True]
+
+
+def test_flat_blocks_read_as_the_yaml_reader_does(spark):
+    import random
+
+    r = random.Random(6)
+    keys = ["name", "description", "license", "allowed-tools", "allowed_tools", "compatibility", "tags", "a_b", "no", "True"]
+    values = ["x", "Some words, here", "MIT", "v1.2/3 (old)", "true", "Null", "on", "2024-01-01", "12", "a: b", "'quoted'", "word ", "e1", "~", "[a, b]", "é", "off-by-one", "y"]
+
+    def block():
+        lines = []
+        for _ in range(r.randrange(1, 5)):
+            key = r.choice(keys)
+            kind = r.random()
+            if kind < 0.6:
+                lines.append(f"{key}: {r.choice(values)}")
+            else:
+                lines.append(f"{key}:")
+                lines += [f"  - {r.choice(values)}" for _ in range(r.randrange(0, 3))]
+        return "\n".join(lines)
+
+    blocks = [None, "", "name: x", "plain"] + [block() for _ in range(600)]
+    df = spark.createDataFrame([(n, b) for n, b in enumerate(blocks)], "n int, b string")
+    b = F.col("b")
+    got = df.select("n", "b", frontmatter.is_flat(b).alias("flat"), frontmatter.front_matter(b).alias("mine"), frontmatter.read_yaml(b).alias("theirs")).collect()
+    for row in got:
+        assert row["mine"] == row["theirs"], row["b"]
+    assert 60 < sum(row["flat"] for row in got) < 560
