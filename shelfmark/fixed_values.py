@@ -104,6 +104,14 @@ RISK_DESCRIPTIONS = {
 # A pipe of a download into a shell, for the opt-in extended rule set.
 PIPED_SHELL_PATTERN = r"curl[^\n|]*\| *(?:sh|bash)"
 
+# --- patterns that decide what a text or a reference means (Java regular expressions) ---
+SPACE_PATTERN = r"[\s\x1c-\x1f]"
+BLOCK_PATTERN = rf"(?sU)\A---{SPACE_PATTERN}*\n(.*?)\n---{SPACE_PATTERN}*\n"
+TITLE_PATTERN = rf"(?mdU)^#{SPACE_PATTERN}+(.+)$"
+HEADING_PATTERN = rf"(?mdU)^#+{SPACE_PATTERN}+.+$"
+REPOSITORY_URL_PATTERN = r"\Ahttps?://github\.com/([^/]+)/([^/]+)"
+FILE_URL_PATTERN = r"(?d)\Ahttps?://github\.com/[^/]+/[^/]+/(?:tree|blob)/([^/\n]+)/(.+)"
+
 # --- index ------------------------------------------------------------------
 DASHBOARD_STATUSES = ["pending", "approved", "rejected", "risky", "offline"]
 REVIEWED_STATUSES = ["approved", "rejected", "risky"]

@@ -7,12 +7,10 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shelfmark.fixed_values import API, MANIFEST_SUFFIX, RAW, SITE, SUBMITTED_SUFFIXES
+from shelfmark.fixed_values import API, FILE_URL_PATTERN, MANIFEST_SUFFIX, RAW, REPOSITORY_URL_PATTERN, SITE, SUBMITTED_SUFFIXES
 from shelfmark.functions.text import blank_to_null, strip
 
-_REPO = r"\Ahttps?://github\.com/([^/]+)/([^/]+)"
-# (?d): only a newline ends the path
-_FILE = r"(?d)\Ahttps?://github\.com/[^/]+/[^/]+/(?:tree|blob)/([^/\n]+)/(.+)"
+_REPO, _FILE = REPOSITORY_URL_PATTERN, FILE_URL_PATTERN
 
 
 def skill_dir(path: Column) -> Column:

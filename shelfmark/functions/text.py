@@ -10,12 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shelfmark import fixed_values as fv
 from shelfmark.fixed_values import DESCRIPTION_LIMIT, NAME_LIMIT
 
-_S = r"[\s\x1c-\x1f]"
-_BLOCK = rf"(?sU)\A---{_S}*\n(.*?)\n---{_S}*\n"
-_TITLE = rf"(?mdU)^#{_S}+(.+)$"
-_HEADING = rf"(?mdU)^#+{_S}+.+$"
+_S, _BLOCK, _TITLE, _HEADING = fv.SPACE_PATTERN, fv.BLOCK_PATTERN, fv.TITLE_PATTERN, fv.HEADING_PATTERN
 
 # All characters that count as white space at the ends of a text.
 WHITESPACE = (
