@@ -183,7 +183,8 @@ def one_of_each(documents: DataFrame, radius: int = RADIUS, tile: int = TILE) ->
         .filter("head")
     )
     heads = stage(heads.select("doc_id", "n"), "heads")
-    single = documents.join(heads.filter("n = 1").select("doc_id"), "doc_id", "left_semi")
+    # the narrow side is hashed, so that the texts are shuffled once but not sorted; the same way at every size
+    single = documents.join(heads.filter("n = 1").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
     # ids that repeat, or are missing: the fingerprint says which component a row is of
     again = documents.join(heads.filter("n > 1").select("doc_id"), "doc_id", "left_semi")
     again = again.unionByName(documents.filter("doc_id IS NULL")).withColumn("_fp", fingerprints(documents))
