@@ -7,7 +7,8 @@ the exact inner product in double precision.
 
 How many entries are enough, and whether half distances or half products order the pairs
 better, is measured: a bounded sample of queries is compared with all rows, and the smallest
-number that finds ``recall`` of their neighbours is taken.
+number that finds ``recall`` of their neighbours is taken.  It is never less than the wanted
+neighbours and the query itself, so every query gets as many rows as there are candidates for.
 
 Entries lie in tiles of bounded size: all cells of one first centroid, dealt into blocks where
 they are many, against blocks of queries.  Every tile gives a query's best entries, and Spark
@@ -240,6 +241,7 @@ def measured(index: Index, laid: DataFrame, queries: DataFrame, n_queries: int,
         needed.sort()
         choices.append((needed[min(len(needed) - 1, int(np.ceil(settings.recall * len(needed))) - 1)] if needed else every, by_product))
     enough, by_product = min(choices)
+    enough = max(enough, settings.neighbours + 1)  # the query's own row is an entry as well
     return Index(index.first, index.second, index.sizes, int(min(enough, every)), by_product)
 
 

@@ -81,3 +81,20 @@ def test_few_and_no_vectors(spark):
     for rows, n in (([], 0), ([(0, None)], 0), ([(0, [1.0])], 0), ([(0, [1.0]), (20, [2.0])], 2)):
         assert m.search(spark.createDataFrame(rows, schema), F.col("vec_id") % 20 == 0).count() == n
     assert m.search(spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0])], schema), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_outliers_beside_tight_clusters_get_all_their_rows(spark):
+    r = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    centres = unit(r.normal(size=(20, 8)))
+    x = np.concatenate([unit(centres[np.arange(2000) % 20] + 1e-4 * r.normal(size=(2000, 8))), unit(r.normal(size=(3, 8)))])
+    rows = [(k, [float(v) for v in y]) for k, y in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = m.search(df, (F.col("vec_id") % 20 == 0) | (F.col("vec_id") >= 2000)).groupBy("query_id").count().collect()
+    assert {r.query_id for r in got} == {*range(0, 2000, 20), *range(2000, 2003)} and {r["count"] for r in got} == {20}
+
+
+@pytest.mark.parametrize("n", [10, 15, 20])
+def test_fewer_candidates_than_asked_for_are_all_found(spark, n):
+    got = m.search(spark.createDataFrame(vectors(n), "vec_id long, embedding array<float>"), F.lit(True)).groupBy("query_id").count().collect()
+    assert len(got) == n and {r["count"] for r in got} == {n - 1}
