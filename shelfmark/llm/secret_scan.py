@@ -1,7 +1,8 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a value assigned to a name, a token of a known form, or a long run that mixes
-letters and digits.  The forest looks at its length, its character transitions, how far
+A candidate is a value assigned to a name, the password of an address, a token of a known form,
+or a long run that mixes letters and digits.  Private keys and known forms win over what they
+overlap; the rest of that stays a candidate.  The forest looks at its length, its character transitions, how far
 dictionary words cover it, the path it stands in and the words next to it.  It is trained in
 numpy on labelled findings: either given ones or, as in the query, findings planted in a
 bounded sample of the corpus, where the label is known because the value was made.
@@ -14,10 +15,12 @@ points, end exclusive.
 from __future__ import annotations
 
 import base64
+import bisect
 import math
 import random
 import re
 import string
+import urllib.parse
 import uuid
 from collections import Counter
 from dataclasses import dataclass
@@ -49,7 +52,10 @@ KNOWN_FORM = re.compile(
 RUN = frozenset(string.ascii_letters + string.digits + "+/_.~-")
 _DIGITS = re.compile(r"[0-9]+")
 _ASSIGN = re.compile(r"[:=]")
-_VALUE = re.compile(r"[:=]{0,2}>?\s{0,3}(?:Bearer\s{1,3}|Basic\s{1,3})?([\"'`]?)([^\s\"'`<>,;(){}|\[\]]{6,})", re.IGNORECASE)
+_VALUE = re.compile(r"[:=]{0,2}>?(?:[^\S\n]*+\n){0,3}+[^\S\n]*+(?:Bearer\s+|Basic\s+)?([\"'`]?)([^\s\"'`<>,;(){}|\[\]]{6,})?", re.IGNORECASE)
+_QUOTED = {q: re.compile(rf"((?:[^{q}\\\n]|\\.)*+){q}") for q in "\"'`"}
+_ADDRESS = re.compile(r"://[^\s/?#:@\"'`<>]*+:([^\s/?#\"'`<>]+)@")
+_FORM_START = re.compile(r"[AaGgXxSsEe](?<![A-Za-z0-9].)(?:[KkSs][Ii][Aa]|[Hh][A-Za-z]_|[Oo][Xx]|[Kk][-_]|[Ii][Zz][Aa]|[Yy][Jj]|[Ll][Pp][Aa][Tt]-)", re.DOTALL)
 _NAME = re.compile(r"([A-Za-z_][A-Za-z0-9_.-]{0,60})[\"'`\]]{0,2}\s{0,3}$")
 _PEM = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END [A-Z ]{0,30}PRIVATE KEY-----")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
@@ -79,20 +85,45 @@ class Candidate:
     name: str
 
 
-def candidates(text: str) -> list[Candidate]:
-    """Candidates in order; of overlapping ones the first, and of those the longest."""
-    found = []
+def _fixed(text: str) -> list[Candidate]:
+    """Private keys and tokens of known forms, none overlapping another."""
+    found, out = [], []
     if "-----BEGIN" in text:
         found += [Candidate(m.start(), m.end(), "private key", "") for m in _PEM.finditer(text)]
+    for m in _FORM_START.finditer(text):
+        known = KNOWN_FORM.match(text, m.start())
+        # without a digit and in small letters the first form is an ordinary word
+        if known and (known[0][1:4].lower() not in ("kia", "sia") or known[0].isupper() or _DIGITS.search(known[0])):
+            found.append(Candidate(known.start(), known.end(), "known form", ""))
+    for c in sorted(found, key=lambda c: (c.start, -c.end)):
+        if not out or c.start >= out[-1].end:
+            out.append(c)
+    return out
+
+
+def _assigned(text: str) -> list[Candidate]:
+    """Values assigned to a name that tells something, and passwords of addresses."""
+    found = []
     for m in _ASSIGN.finditer(text):
-        before = text[max(0, m.start() - 70) : m.start()]
-        name = _NAME.search(before)
-        if name is None or not any(cue in name[1].lower() for cue in STRONG_CUES + WEAK_CUES + BENIGN_CUES + ("authorization",)):
+        end, lines = m.start(), 0
+        while end and text[end - 1].isspace() and lines <= 3:
+            end -= 1
+            lines += text[end] == "\n"
+        name = _NAME.search(text[max(0, end - 70) : end])
+        if name is None or lines > 3 or not any(cue in name[1].lower() for cue in STRONG_CUES + WEAK_CUES + BENIGN_CUES + ("authorization",)):
             continue
         value = _VALUE.match(text, m.start())
-        if value and "://" not in value[0]:
+        quoted = _QUOTED[value[1]].match(text, value.end(1)) if value[1] else None
+        if quoted:
+            if "://" not in quoted[1]:
+                found.append(Candidate(quoted.start(1), quoted.end(1), "assigned", name[1]))
+        elif value[2] and "://" not in value[0]:
             found.append(Candidate(value.start(2), value.start(2) + len(value[2].rstrip(".!?:#*&$%")), "assigned", name[1]))
-    upto = 0
+    return found + [Candidate(m.start(1), m.end(1), "assigned", "password") for m in _ADDRESS.finditer(text)]
+
+
+def _runs(text: str) -> list[Candidate]:
+    found, upto = [], 0
     for m in _DIGITS.finditer(text):
         if m.start() < upto:
             continue
@@ -105,13 +136,36 @@ def candidates(text: str) -> list[Candidate]:
         if text[padded : padded + 1] not in RUN:  # of base64, not of an assignment
             b = padded
         upto = b
-        run = text[a:b]
-        for known in KNOWN_FORM.finditer(run):
-            found.append(Candidate(a + known.start(), a + known.end(), "known form", ""))
-        stripped = run.strip(".-=/~")
-        if len(stripped) >= 16 and any(c.isalpha() for c in stripped):
-            a += run.index(stripped)
-            found.append(Candidate(a, a + len(stripped), "run", ""))
+        found.append(Candidate(a, b, "run", ""))
+    return found
+
+
+def _without(c: Candidate, fixed: list[Candidate], starts: list[int]) -> list[tuple[int, int]]:
+    """What ``fixed`` leaves of a candidate; a value that begins with a known form stays whole."""
+    k, at, left = max(0, bisect.bisect_right(starts, c.start) - 1), c.start, []
+    while k < len(fixed) and fixed[k].start < c.end:
+        f = fixed[k]
+        if f.end > at and not (c.kind == "assigned" and f.start == c.start and f.end <= c.end):
+            left.append((at, f.start))
+            at = f.end
+        k += 1
+    return [(a, b) for a, b in [*left, (at, c.end)] if a < b]
+
+
+def candidates(text: str) -> list[Candidate]:
+    """Candidates in order; of overlapping ones the first, and of those the longest."""
+    fixed = _fixed(text)
+    starts = [c.start for c in fixed]
+    found = list(fixed)
+    for c in _assigned(text):
+        found += [Candidate(a, b, c.kind, c.name) for a, b in _without(c, fixed, starts)]
+    for c in _runs(text):
+        for a, b in _without(c, fixed, starts):
+            run = text[a:b]
+            stripped = run.strip(".-=/~")
+            if len(stripped) >= 16 and any(x.isalpha() for x in stripped) and _DIGITS.search(stripped):
+                a += run.index(stripped)
+                found.append(Candidate(a, a + len(stripped), "run", ""))
     out, upto = [], 0
     for c in sorted((c for c in found if c.end - c.start >= 6), key=lambda c: (c.start, c.kind == "run", -c.end)):
         if c.start >= upto:
@@ -283,6 +337,8 @@ def grow_forest(x: np.ndarray, y: np.ndarray, settings: Settings = Settings()) -
 _POSITIVE_NAMES = ("token", "secret", "api_key", "apiKey", "access_key", "password", "passwd", "client_secret", "auth_token", "secret_key", "accessToken", "db_password", "API_TOKEN", "private_key", "bearer_token")
 _NEGATIVE_NAMES = ("commit", "sha1", "sha256", "md5", "checksum", "digest", "etag", "build_id", "uuid", "request_id", "hash", "version", "image", "file_hash", "page_id", "trace_id", "revision", "integrity")
 _FORMS = ('{n} = "{v}"', "{n} = '{v}'", "{n}: {v}", '"{n}": "{v}"', "{n}={v}", '{n} := "{v}"', "export {n}={v}", "Authorization: Bearer {v}", '{n} => "{v}"')
+_ADDRESSES = ("postgres://app:{v}@db.example.com/main", "https://user:{v}@example.com/", "amqp://{n}:{v}@queue")
+_IN_PATH = ("", "", "", "conf/", "//host/path/", "x.")
 _ALNUM = string.ascii_letters + string.digits
 
 
@@ -365,10 +421,16 @@ def planted_findings(texts: list[str], settings: Settings = Settings()) -> list[
         if secret:
             value = _random_value(r)
             known = KNOWN_FORM.match(value)
-            piece = value if known and r.random() < 0.4 else r.choice(_FORMS).format(n=r.choice(_POSITIVE_NAMES), v=value)
+            if known and r.random() < 0.4:
+                piece = r.choice(_IN_PATH) + value
+            elif r.random() < 0.1:
+                value = urllib.parse.quote(value, safe="")
+                piece = r.choice(_ADDRESSES).format(n=r.choice(_POSITIVE_NAMES), v=value)
+            else:
+                piece = r.choice(_FORMS).format(n=r.choice(_POSITIVE_NAMES), v=value)
         elif r.random() < 0.35:
             value = _harmless_value(r, words)
-            piece = r.choice(_FORMS).format(n=r.choice(_POSITIVE_NAMES), v=value)
+            piece = r.choice(_ADDRESSES if r.random() < 0.1 else _FORMS).format(n=r.choice(_POSITIVE_NAMES), v=value)
         elif r.random() < 0.5:
             value = "".join(r.choice("0123456789abcdef") for _ in range(r.choice((32, 40, 64)))) if r.random() < 0.7 else _harmless_run(r, words)
             piece = r.choice(_FORMS[:7]).format(n=r.choice(_NEGATIVE_NAMES), v=value)
