@@ -5,7 +5,9 @@ or a long run that mixes letters and digits.  Private keys and known forms win o
 overlap; the rest of that stays a candidate.  The forest looks at its length, its character transitions, how far
 dictionary words cover it, the path it stands in and the words next to it.  It is trained in
 numpy on labelled findings: either given ones or, as in the query, findings planted in a
-bounded sample of the corpus, where the label is known because the value was made.
+bounded sample of the corpus, where the label is known because the value was made.  Words and
+letter transitions are counted over all documents.  A candidate longer than ``_WINDOW`` is read
+in overlapping windows and has the score of its best one.
 
 Defined results: NULL or empty text has no candidate; repeated rows are scored alike; over an
 empty table the forest is trained without context; ``path`` may be NULL.  Positions are code
@@ -16,13 +18,16 @@ from __future__ import annotations
 
 import base64
 import bisect
+import heapq
 import math
 import random
 import re
 import string
 import urllib.parse
 import uuid
+import zlib
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import per_text
+from shelfmark.llm.common import per_text, texts_of
 
 SECRET = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("score", pa.float64())])
 FOUND = pa.struct([("n_candidates", pa.int64()), ("secrets", pa.list_(SECRET))])
@@ -60,9 +65,11 @@ _NAME = re.compile(r"([A-Za-z_][A-Za-z0-9_.-]{0,60})[\"'`\]]{0,2}\s{0,3}$")
 _PEM = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END [A-Z ]{0,30}PRIVATE KEY-----")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 _HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
-_WORDS = re.compile(r"[a-z]{3,}")
+_WORDS = re.compile(r"(?<![a-z0-9_])[a-z]{3,}+(?![a-z0-9_])")
 _AROUND = 48
-_LONGEST_SCORED = 512  # characters of a candidate that enter per-character features; its length counts in full
+_WINDOW = 512  # characters of a candidate that per-character features read at a time; its length counts in full
+_STRETCH = 1 << 20  # characters of a text whose letter pairs are counted at a time
+_COUNTED = 100_000  # words that a task holds before it hands its counts on
 
 
 @dataclass(frozen=True)
@@ -176,20 +183,52 @@ def candidates(text: str) -> list[Candidate]:
 
 @dataclass(frozen=True)
 class Lexicon:
-    """What ordinary text looks like: letter transitions and frequent words, from the sample."""
+    """What ordinary text looks like: letter transitions and words that occur twice."""
 
     transitions: np.ndarray  # 27 x 27 log probabilities
     words: frozenset[str]
 
     @classmethod
     def of(cls, texts: list[str]) -> Lexicon:
-        pairs, words = np.ones((27, 27)), Counter()
+        pairs, words = np.zeros(27 * 27, dtype=np.int64), Counter()
         for text in texts:
-            low = text.lower()
-            words.update(_WORDS.findall(low))
-            codes = _letter_codes(low)
-            np.add.at(pairs, (codes[:-1], codes[1:]), 1)
-        return cls(np.log(pairs / pairs.sum(axis=1, keepdims=True)), frozenset(w for w, n in words.items() if n >= 2 and len(w) >= 3))
+            pairs += _letter_pairs(text)
+            words.update(_WORDS.findall(text.lower()))
+        return cls.from_counts(pairs, (w for w, n in words.items() if n >= 2))
+
+    @classmethod
+    def over(cls, documents: DataFrame) -> Lexicon:
+        """From all documents: counts of each task, added by Spark.  Words that occur twice come to the driver."""
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pairs, words = np.zeros(27 * 27, dtype=np.int64), Counter()
+            table = lambda names, counts: pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64())], ["word", "n"])
+            for batch in batches:
+                for texts in texts_of(batch.column(0)):
+                    for text in texts:
+                        pairs += _letter_pairs(text)
+                        words.update(m[0] for m in _WORDS.finditer(text.lower()))
+                        if len(words) > _COUNTED:
+                            yield table(list(words), list(words.values()))
+                            words.clear()
+            yield table(list(words), list(words.values()))
+            yield table([str(k) for k in range(len(pairs))], pairs)  # numbers are no words
+
+        rows = documents.filter("text IS NOT NULL").select("text").mapInArrow(count, "word string, n long")
+        total = rows.groupBy("word").agg(F.sum("n").alias("n")).filter((F.col("n") >= 2) | F.col("word").rlike("^[0-9]"))
+        pairs, words = np.zeros(27 * 27, dtype=np.int64), []
+        for batch in total.toArrow().to_batches():
+            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if word[0].isdigit():
+                    pairs[int(word)] = n
+                else:
+                    words.append(word)
+        return cls.from_counts(pairs, words)
+
+    @classmethod
+    def from_counts(cls, pairs: np.ndarray, words: Iterable[str]) -> Lexicon:
+        pairs = pairs.reshape(27, 27) + 1.0
+        return cls(np.log(pairs / pairs.sum(axis=1, keepdims=True)), frozenset(words))
 
     def coverage(self, value: str) -> float:
         """The share of characters that dictionary words cover, longest first."""
@@ -210,9 +249,23 @@ def _letter_codes(text: str) -> np.ndarray:
     return np.where((codes < 0) | (codes > 25), 26, codes)
 
 
-def features(text: str, c: Candidate, path: str | None, lexicon: Lexicon) -> list[float]:
-    whole = text[c.start : c.end]
-    v = whole[:_LONGEST_SCORED]
+def _letter_pairs(text: str) -> np.ndarray:
+    """How often each letter follows each, 27 x 27 in a row."""
+    pairs = np.zeros(27 * 27, dtype=np.int64)
+    for at in range(0, len(text), _STRETCH):
+        codes = _letter_codes(text[at : at + _STRETCH + 1].lower())
+        pairs += np.bincount(codes[:-1] * 27 + codes[1:], minlength=27 * 27)
+    return pairs
+
+
+def windows(c: Candidate) -> range:
+    """Where the windows of a candidate begin; they overlap by half and reach its end."""
+    return range(0, max(1, c.end - c.start - _WINDOW // 2), _WINDOW // 2)
+
+
+def features(text: str, c: Candidate, path: str | None, lexicon: Lexicon, at: int = 0) -> list[float]:
+    """The features of a candidate's window that begins ``at`` so many characters."""
+    v = text[c.start + at : min(c.end, c.start + at + _WINDOW)]
     n = len(v)
     kinds = ["d" if ch.isdigit() else "u" if ch.isupper() else "l" if ch.isalpha() else "s" for ch in v]
     share = Counter(kinds)
@@ -226,7 +279,7 @@ def features(text: str, c: Candidate, path: str | None, lexicon: Lexicon) -> lis
     has = lambda words, s: float(sum(w in s for w in words))
     ords = [ord(ch) for ch in v]
     return [
-        math.log(len(whole)),
+        math.log(c.end - c.start),
         len(seen) / n,
         -sum(k / n * math.log2(k / n) for k in seen.values()),
         share["d"] / n,
@@ -407,10 +460,14 @@ def _harmless_run(r: random.Random, words: list[str]) -> str:
     )()
 
 
-def planted_findings(texts: list[str], settings: Settings = Settings()) -> list[tuple[str, Candidate, str | None, int]]:
-    """Labelled findings: made secrets and made look-alikes in pieces of the given texts."""
+def planted_findings(texts: list[str], settings: Settings = Settings(), words: Iterable[str] | None = None) -> list[tuple[str, Candidate, str | None, int]]:
+    """Labelled findings: made secrets and made look-alikes in pieces of the given texts.
+
+    Look-alikes are made of ``words``, by default those of the texts; 20,000 are chosen by hash.
+    """
     r = random.Random(settings.seed)
-    words = sorted({w for t in texts for w in _WORDS.findall(t.lower())})[:20_000] or ["alpha", "record", "value", "entry"]
+    words = {w for t in texts for w in _WORDS.findall(t.lower())} if words is None else words
+    words = heapq.nsmallest(20_000, words, key=lambda w: (zlib.crc32(w.encode()), w)) or ["alpha", "record", "value", "entry"]
     paths = (None, None, "src/app/config.yml", "deploy/.env", "tests/test_login.py", "docs/example.md", "src3", "lib/client.js", "vendor/lock.json")
     out = []
     while len(out) < settings.findings:
@@ -462,7 +519,10 @@ class Scanner:
         found = candidates(text) if text else []
         if not found:
             return 0, []
-        scores = self.forest.predict(np.array([features(text, c, path, self.lexicon) for c in found]))
+        of = [(k, at) for k, c in enumerate(found) for at in windows(c)]
+        each = self.forest.predict(np.array([features(text, found[k], path, self.lexicon, at) for k, at in of]))
+        scores = np.zeros(len(found))
+        np.maximum.at(scores, [k for k, _ in of], each)
         return len(found), [(c, float(s)) for c, s in zip(found, scores) if s >= self.threshold]
 
     def report(self, text: str | None, path: str | None = None) -> dict:
@@ -481,22 +541,22 @@ class Scanner:
         return "".join([*parts, text[at:]])
 
 
-def fit(texts: list[str], findings: list[tuple[str, Candidate, str | None, int]] | None = None, settings: Settings = Settings()) -> Scanner:
+def fit(texts: list[str], findings: list[tuple[str, Candidate, str | None, int]] | None = None, settings: Settings = Settings(), lexicon: Lexicon | None = None) -> Scanner:
     """A scanner from labelled findings (text, candidate, path, label); planted ones in ``texts`` if none are given."""
-    lexicon = Lexicon.of(texts)
-    findings = findings or planted_findings(texts, settings)
+    words, lexicon = lexicon and lexicon.words, lexicon or Lexicon.of(texts)
+    findings = findings or planted_findings(texts, settings, words)
     x = np.array([features(t, c, p, lexicon) for t, c, p, _ in findings])
     return Scanner(grow_forest(x, np.array([y for *_, y in findings], dtype=float), settings), lexicon, settings.threshold)
 
 
 def fit_on(documents: DataFrame, settings: Settings = Settings()) -> Scanner:
-    """A scanner whose planted findings stand in at most ``settings.contexts`` texts of the corpus, chosen by hash."""
+    """A scanner whose planted findings stand in at most ``settings.contexts`` texts of the corpus, chosen by hash; its lexicon counts all."""
     rows = documents.filter("text IS NOT NULL").select("text")
     share = min(1.0, 2.0 * settings.contexts / max(1, documents.count()))
     place = F.xxhash64("text")
     near = rows.filter(F.pmod(place, F.lit(1 << 24)) < share * (1 << 24)).distinct()
     texts = [r["text"] for r in near.orderBy(place, "text").limit(settings.contexts).collect()]
-    return fit(texts, settings=settings)
+    return fit(texts, settings=settings, lexicon=Lexicon.over(documents))
 
 
 def _with(documents: DataFrame, scanner: Scanner, kind: pa.DataType, use: str, path: str | None) -> Column:

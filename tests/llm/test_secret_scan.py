@@ -99,3 +99,34 @@ def test_over_documents(documents, scanner):
 def test_a_scanner_for_an_empty_table(documents):
     known = s.fit_on(documents((1, "x")).limit(0), s.Settings(findings=300, trees=5))
     assert known.secrets("nothing here") == (0, [])
+
+
+def test_a_long_candidate_is_read_to_its_end(scanner):
+    known, _ = scanner
+    r = np.random.default_rng(3)
+    slug = "the-quiet-river-and-the-old-house-" * 25
+    secret = "".join(r.choice(list("0123456789abcdef"), 800))
+    plain, holding = (f'token = "{slug}{end}"' for end in ("and-the-dog", secret))
+    assert not known.secrets(plain)[1]
+    (c, _), = known.secrets(holding)[1]
+    assert holding[c.start : c.end] == slug + secret
+    for n in (6, 512, 513, 768, 769, 5000):
+        at = list(s.windows(s.Candidate(10, 10 + n, "run", "")))
+        assert at[0] == 0 and at[-1] + 512 >= n and all(b - a == 256 for a, b in zip(at, at[1:]))
+
+
+def test_the_lexicon_counts_all_documents(documents, monkeypatch):
+    texts = ["zebra common words", "a zebra, rare zygote", "x" * 50, None, "common token9abc zygote"]
+    docs = documents(*enumerate(texts)).repartition(3)
+    monkeypatch.setattr(s, "_COUNTED", 1)
+    known = s.fit_on(docs, s.Settings(contexts=1, findings=200, trees=3))
+    plain = s.Lexicon.of([t for t in texts if t])
+    assert known.lexicon.words == plain.words == {"zebra", "common", "zygote"}
+    assert np.allclose(known.lexicon.transitions, plain.transitions)
+
+
+def test_look_alikes_use_words_of_the_whole_alphabet():
+    words = [a + b + c + d + "qq" for a in "abcz" for b in "abcdefghijklmnopqrst" for c in "abcdefghijklmnopqrst" for d in "abcdefghijklmnopqrst"]
+    assert len(words) > 20_000
+    lines = " ".join(line for line, *_ in s.planted_findings([], s.Settings(findings=300), words)).lower()
+    assert re.search(r"z[a-t]{3}qq", lines)
