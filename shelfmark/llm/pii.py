@@ -40,8 +40,9 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)  # keeps positions
 _REST_OF_URL = re.compile(r"[^\s<>\"'`{}|\\^]+")
-_IBAN = re.compile(r"[^A-Za-z0-9]{0,12}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?:[^A-Za-z0-9]{1,12}[A-Za-z]{1,8}){0,3}?[^A-Za-z0-9]{0,12}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
 _SSN = re.compile(r"[^0-9]{0,16}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
 _ACCOUNT = re.compile(r"[^0-9\n]{0,24}([0-9]{6,17})(?![0-9])")
 
@@ -56,8 +57,7 @@ def _anchors() -> ahocorasick.Automaton:
     found.add_word("://", "url")
     for kind, cues in CUES.items():
         for cue in cues:
-            for form in (cue, cue.capitalize(), cue.upper()):
-                found.add_word(form, kind)
+            found.add_word(cue, kind)
     found.make_automaton()
     return found
 
@@ -86,7 +86,7 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
         return []
     found: list[tuple[str, int, int]] = []
     upto = dict.fromkeys((*KINDS, "digits"), 0)
-    for last, kind in _anchors().iter(text):
+    for last, kind in _anchors().iter(text.translate(_LOWER)):
         if kind == "digit":
             if last >= upto["digits"]:
                 _numbers(text, last, upto, found)

@@ -46,6 +46,17 @@ def test_added_kinds():
     assert pii.find("IBAN: DE88 3704 0044 0532 0130 00") == []
 
 
+def test_cues_in_any_case_and_with_words_before_the_value():
+    for text, want in (
+        ("Social Security number: 123-45-6789", ("ssn", "123-45-6789")),
+        ("sOCIAL sECURITY 123-45-6789", ("ssn", "123-45-6789")),
+        ("IBAN is DE89370400440532013000", ("iban", "DE89370400440532013000")),
+        ("my iBan number is: DE89 3704 0044 0532 0130 00.", ("iban", "DE89 3704 0044 0532 0130 00")),
+        ("İİ AcCount 12345678", ("account", "12345678")),
+    ):
+        assert [(k, text[a:b]) for k, a, b in pii.find(text) if k not in pii.BASE] == [want]
+
+
 def test_over_documents(documents):
     long = "x" * 300_000 + " me@example.org " + "1" * 100_000
     docs = documents((1, "a@b.co 1.2.3.4"), (1, "a@b.co 1.2.3.4"), (2, None), (3, ""), (4, long), (None, "+1 212 555 0100"))
