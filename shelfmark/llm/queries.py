@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, decontaminate, html_extract, language_id, multi_index, pii, quality, secret_scan, simhash, toxicity
+from shelfmark.llm import (
+    bpe,
+    collocations,
+    decontaminate,
+    html_extract,
+    language_id,
+    minhash,
+    multi_index,
+    pii,
+    quality,
+    secret_scan,
+    simhash,
+    toxicity,
+    vector_codes,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +99,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_personal_data")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op11_phrase_collocations", collocations.ORACLE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op12_vector_codes", vector_codes.oracle_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_minhash_near_dedup", minhash.ORACLE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
