@@ -89,30 +89,36 @@ def _reader():
 
 _KEY = r"[A-Za-z][A-Za-z0-9_-]*"
 _WORDS = r"[A-Za-z](?:[A-Za-z0-9 ,./_()-]*[A-Za-z0-9,./_()-])?"
-_FLAT = rf"\A(?:{_KEY}: {_WORDS}\n|{_KEY}:\n(?:  - {_WORDS}\n)*)+\z"
+# Lines are matched one at a time, and no pattern repeats a group: Java's matcher would recurse
+# once for every repeat, and a block of many lines would exhaust the stack of its task.
+_LINE = rf"^(?:{_KEY}:(?: {_WORDS})?|  - {_WORDS})$"
 # words that YAML reads as something else
 _TYPED = "(?:" + "|".join(f"{w}|{w.capitalize()}|{w.upper()}" for w in ("true", "false", "yes", "no", "on", "off", "null")) + ")"
 _NOT_FLAT = [
+    r"\A  - ",
+    rf"(?m)^{_KEY}: [^\n]+\n  - ",
     rf"(?m)^{_TYPED}:",
     rf"(?m)(?:: |^  - ){_TYPED}$",
     r"(?m)^(?:name|description|license|compatibility):\n  - ",
-    rf"(?ms)^({_KEY}):.*^\1:",
 ]
 _ITEM = "\x01"
 
 
 def is_flat(block: Column) -> Column:
     """Whether column expressions read the block; false for NULL."""
-    flat = F.concat(block, F.lit("\n")).rlike(_FLAT)
+    lines = F.split(block, "\n", -1)
+    flat = F.forall(lines, lambda line: line.rlike(_LINE))
     for pattern in _NOT_FLAT:
         flat = flat & ~block.rlike(pattern)
-    return F.coalesce(flat, F.lit(False))
+    keys = F.regexp_extract_all(block, F.lit(rf"(?m)^({_KEY}):"), F.lit(1))
+    return F.coalesce(flat & (F.size(F.array_distinct(keys)) == F.size(keys)), F.lit(False))
 
 
 def read_flat(block: Column) -> Column:
     """What the YAML reader gives for a flat block."""
+    # the items of a list follow its key on one line
     listed = F.regexp_replace(block, r"\n  - ([^\n]+)", _ITEM + '"$1"')
-    lists = F.regexp_replace(listed, rf'(?m)^({_KEY}):((?:{_ITEM}"[^"\n]*")+)$', '"$1": [$2]')
+    lists = F.regexp_replace(listed, rf'(?m)^({_KEY}):({_ITEM}[^\n]+)$', '"$1": [$2]')
     lists = F.replace(F.replace(lists, F.lit("[" + _ITEM), F.lit("[")), F.lit(_ITEM), F.lit(", "))
     words = F.regexp_replace(lists, rf"(?m)^({_KEY}): ([^\n]+)$", '"$1": "$2"')
     pairs = F.regexp_replace(words, rf"(?m)^({_KEY}):$", '"$1": null')
@@ -121,7 +127,7 @@ def read_flat(block: Column) -> Column:
         return F.nullif(F.regexp_extract(block, rf"(?m)^{key}: ([^\n]+)$", 1), F.lit(""))
 
     def tools(key: str) -> Column:
-        items = F.regexp_extract(listed, rf'(?m)^{key}:((?:{_ITEM}"[^"\n]*")+)$', 1)
+        items = F.regexp_extract(listed, rf"(?m)^{key}:({_ITEM}[^\n]+)$", 1)
         many = F.split(F.substring(items, F.lit(3), F.length(items) - 3), f'"{_ITEM}"')
         return F.when(items != "", many).when(text(key).isNotNull(), F.array(text(key)))
 

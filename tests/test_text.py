@@ -153,3 +153,15 @@ def test_flat_blocks_read_as_the_yaml_reader_does(spark):
     for row in got:
         assert row["mine"] == row["theirs"], row["b"]
     assert 60 < sum(row["flat"] for row in got) < 560
+
+
+def test_long_blocks_do_not_exhaust_the_stack(spark):
+    import json
+
+    keys = "\n".join(f"key{n}: some words {n}" .replace(str(n), "abcdefghij"[n % 10] * (n // 10 % 7 + 1) + "x" + "-".join("abcdefghij"[int(d)] for d in str(n)), 1) for n in range(100_000))
+    items = "name: x\nallowed-tools:\n" + "\n".join(f"  - Tool{n}" for n in range(20_000))
+    rows = column(spark, [keys, items, "- a\n" * 3000], F.struct(frontmatter.is_flat(x()).alias("flat"), frontmatter.front_matter(x()).alias("m")), "string")
+    assert [r["flat"] for r in rows] == [True, True, False]
+    assert len(json.loads(rows[0]["m"]["frontmatter_json"])) == 100_000
+    assert len(rows[1]["m"]["allowed_tools"]) == 20_000 and rows[1]["m"]["allowed_tools"][-1] == "Tool19999"
+    assert json.loads(rows[1]["m"]["frontmatter_json"])["allowed-tools"] == rows[1]["m"]["allowed_tools"]
