@@ -1,9 +1,10 @@
 """Phrase collocations, counted in HAT-tries.
 
-A task counts phrases in a HAT-trie: a shallow trie over word ids, whose leaves are hash
-containers of the remaining ids that burst into a trie node when they grow.  When the trie holds
-``most_entries``, its largest subtrees are spilled whole, as sorted runs, until it is half empty.
-Runs are dealt by their prefix (language and first two words) and merged there.
+A task counts phrases in a HAT-trie: a shallow trie over word ids (64-bit hashes), whose leaves
+are hash containers of the remaining ids that burst into a trie node when they grow.  When the
+trie holds ``most_entries``, its largest subtrees are spilled whole, as sorted runs, until it is
+half empty.  Runs are dealt by their prefix (language and first word) and merged there; texts of
+phrases are put together at the end, for the frequent ones alone.
 
 Phrases are counted by length.  A phrase can only be frequent if the two phrases that lack its
 last or first word are, so each length passes by what a bitmap of the frequent phrases before it
@@ -29,8 +30,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm.bitmaps import HashedSet, hashed_set
-from shelfmark.llm.decontaminate import gram_hashes
-from shelfmark.llm.words import hashes_of, stretches, word_hashes
+from shelfmark.llm.decontaminate import _STEP, gram_hashes
+from shelfmark.llm.words import hashes_of, mixed, stretches, word_hashes
 from shelfmark.session import stage
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
@@ -49,98 +50,84 @@ class Settings:
     stretch: int = 1 << 20  # bytes of text that are counted together
 
 
+class Node(dict):
+    """A trie node: next id -> node or container.  Containers are plain dicts: rest of the key -> count."""
+
+
 class HatTrie:
-    """Counts of byte keys, all of one number of ids of eight bytes."""
+    """Counts of keys of a fixed number of eight-byte ids, each under a prefix of its own.
+
+    The root leads from prefixes to containers; one that grows beyond ``burst`` becomes a node by
+    the next id, as long as its keys have more than one.
+    """
 
-    DEPTH = 3  # levels of ids above the containers, at most: language, first and second word
     ID = 8
 
     def __init__(self, burst: int):
         self.burst, self.entries = burst, 0
-        self.root: dict = {}
-        self.is_node: set[int] = set()  # identities of the dicts that are trie nodes, not containers
-
-    def add(self, key: bytes, count: int) -> None:
-        here, depth, above, edge = self.root, 0, None, b""
-        while id(here) in self.is_node:
-            edge = key[depth * self.ID : (depth + 1) * self.ID]
-            above, here, depth = here, here.get(edge), depth + 1
-            if here is None:
-                here = above[edge] = {}
-        rest = key[depth * self.ID :]
-        was = here.get(rest)
-        here[rest] = count if was is None else was + count
-        if was is None:
-            self.entries += 1
-            # keys have one length, so a container of last ids stays one
-            if len(here) > self.burst and depth < self.DEPTH and len(rest) > self.ID:
-                self._burst(here, above, edge)
-
-    def _burst(self, container: dict, above: dict | None, edge: bytes) -> None:
-        node: dict = {}
-        for key, count in container.items():
-            node.setdefault(key[: self.ID], {})[key[self.ID :]] = count
-        if above is None:
-            self.root = node
-        else:
-            above[edge] = node
-        self.is_node.add(id(node))
-
-    def _size(self, here: dict) -> int:
-        return sum(map(self._size, here.values())) if id(here) in self.is_node else len(here)
-
-    def _run(self, here: dict, prefix: bytes) -> Iterator[tuple[bytes, int]]:
-        for key in sorted(here):
-            if id(here) in self.is_node:
-                yield from self._run(here[key], prefix + key)
-            else:
-                yield prefix + key, here[key]
-
-    def spill(self, leave: int) -> Iterator[list[tuple[bytes, int]]]:
-        """Whole subtrees, the largest first, as sorted runs, until at most ``leave`` entries are left."""
-        subtrees: list[tuple[int, bytes, dict, bytes]] = []
-
-        def collect(here: dict, prefix: bytes) -> None:
-            for key, child in here.items():
-                if id(child) in self.is_node:
-                    collect(child, prefix + key)
-                else:
-                    subtrees.append((len(child), prefix + key, here, key))
-
-        if id(self.root) not in self.is_node:
-            run, self.root, self.entries = list(self._run(self.root, b"")), {}, 0
-            if run:
-                yield run
+        self.root = Node()
+
+    def add(self, prefix: bytes, keys: list[bytes], counts: list[int]) -> None:
+        """Add the keys of one prefix."""
+        here = self.root.get(prefix)
+        if here is None:
+            here = self.root[prefix] = {}
+        if type(here) is Node:
+            for key, count in zip(keys, counts):
+                child = here.get(key[: self.ID])
+                if child is None:
+                    child = here[key[: self.ID]] = {}
+                rest = key[self.ID :]
+                was = child.get(rest, 0)
+                self.entries += not was
+                child[rest] = was + count
             return
-        collect(self.root, b"")
-        subtrees.sort(key=lambda s: (-s[0], s[1]))
-        for size, prefix, above, key in subtrees:
+        before, get = len(here), here.get
+        for key, count in zip(keys, counts):
+            here[key] = get(key, 0) + count
+        self.entries += len(here) - before
+        if len(here) > self.burst and len(keys[0]) > self.ID:
+            node = self.root[prefix] = Node()
+            for key, count in here.items():
+                node.setdefault(key[: self.ID], {})[key[self.ID :]] = count
+
+    def _run(self, tree: dict) -> tuple[list[bytes], list[int]]:
+        if type(tree) is not Node:
+            keys = sorted(tree)
+            return keys, [tree[k] for k in keys]
+        keys, counts = [], []
+        for edge in sorted(tree):
+            rest, more = self._run(tree[edge])
+            keys += [edge + r for r in rest]
+            counts += more
+        return keys, counts
+
+    def spill(self, leave: int = 0) -> Iterator[tuple[bytes, list[bytes], list[int]]]:
+        """Whole subtrees as sorted runs (prefix, keys, counts), the largest first, until at most ``leave`` entries are left."""
+        sizes = [(sum(map(len, tree.values())) if type(tree) is Node else len(tree), prefix) for prefix, tree in self.root.items()]
+        for size, prefix in sorted(sizes, key=lambda s: (-s[0], s[1])):
             if self.entries <= leave:
                 break
-            yield list(self._run(above[key], prefix))
-            del above[key]
+            yield prefix, *self._run(self.root.pop(prefix))
             self.entries -= size
 
-    def drain(self) -> Iterator[list[tuple[bytes, int]]]:
-        """Everything, as one sorted run."""
-        run = list(self._run(self.root, b""))
-        self.root, self.entries, self.is_node = {}, 0, set()
-        if run:
-            yield run
-
 
 def plain(text: str) -> bytes:
     """A-Z lower-cased, words parted by spaces; a line end stands for every sign that ends a piece, as a word of its own."""
     return text.encode("utf-8", "surrogatepass").translate(_LOWER).replace(b"\n", b" \n ")
 
 
-def phrase_hashes(phrases: list[str | None]) -> np.ndarray:
+def _ids(keys: pa.Array, n: int) -> np.ndarray:
+    """The word ids of binary keys, a row for each."""
+    return np.frombuffer(b"".join(keys.to_pylist()), dtype=">u8").astype(np.uint64).reshape(-1, n)
+
+
+def _hashes_of_rows(ids: np.ndarray) -> np.ndarray:
     """The hash by which a phrase is looked up in a bitmap."""
-    out = np.zeros(len(phrases), dtype=np.uint64)
-    for k, phrase in enumerate(phrases):
-        words = hashes_of((phrase or "").encode("utf-8", "surrogatepass").split(b" "))
-        out[k] = gram_hashes(words, len(words))[0] if len(words) else 0
-    return out
+    h = np.zeros(len(ids), dtype=np.uint64)
+    for k in range(ids.shape[1]):
+        h = h * _STEP + ids[:, k]
+    return mixed(h)
 
 
 class Counter:
@@ -150,12 +137,11 @@ class Counter:
         self.n, self.known, self.settings = n, known, settings
         self.trie = HatTrie(settings.burst)
         self.langs: dict[bytes, str] = {}
-        self.words: dict[bytes, bytes] = {}
 
     def take(self, lang: str, data: bytes) -> None:
         lang_id = hashlib.blake2b(lang.encode("utf-8", "surrogatepass"), digest_size=HatTrie.ID).digest()
         self.langs[lang_id] = lang
-        n, add, words = self.n, self.trie.add, self.words
+        n, add = self.n, self.trie.add
         for part, starts, ends, keep in stretches(data, n - 1, self.settings.stretch):
             hashes = word_hashes(part, starts, ends)
             m = len(hashes) - n + 1
@@ -171,61 +157,95 @@ class Counter:
             at = np.flatnonzero(alive)
             if not len(at):
                 continue
-            _, first, counts = np.unique(gram_hashes(hashes, n)[at], return_index=True, return_counts=True)
-            first = at[first]
-            ids = np.ascontiguousarray(np.stack([hashes[first + k] for k in range(n)], axis=1).astype(">u8"))
-            used, where = np.unique(ids.ravel(), return_index=True)
-            for i, place in zip(used.tolist(), where.tolist()):
-                name = i.to_bytes(8, "big")
-                if name not in words:
-                    j = int(first[place // n]) + place % n
-                    words[name] = part[starts[j] : ends[j]]
-            raw, width = ids.tobytes(), 8 * n
-            for k, count in enumerate(counts.tolist()):
-                add(lang_id + raw[k * width : (k + 1) * width], count)
-
-    def rows(self, run: list[tuple[bytes, int]]) -> pa.RecordBatch:
-        """A sorted run as (prefix, lang, phrase, f)."""
-        words, langs = self.words, self.langs
-        prefix, lang, phrase, counts = [], [], [], []
-        for key, count in run:
-            parts = [words[key[k : k + 8]] for k in range(8, len(key), 8)]
-            prefix.append(int.from_bytes(key[:8], "big", signed=True) ^ int.from_bytes(key[8:16], "big", signed=True) ^ (int.from_bytes(key[16:24], "big", signed=True) >> 1))
-            lang.append(langs[key[:8]])
-            phrase.append(b" ".join(parts).decode("utf-8", "surrogatepass"))
-            counts.append(count)
-        return pa.RecordBatch.from_arrays([pa.array(prefix, pa.int64()), pa.array(lang), pa.array(phrase), pa.array(counts, pa.int64())], ["prefix", "lang", "phrase", "f"])
+            ids = np.stack([hashes[at + k] for k in range(n)], axis=1)
+            ids = ids[np.lexsort(ids.T[::-1])]
+            new = np.concatenate([[True], (ids[1:] != ids[:-1]).any(axis=1)])
+            first = np.flatnonzero(new)
+            counts = np.diff(np.append(first, len(ids))).tolist()
+            ids = ids[first]
+            raw, width = np.ascontiguousarray(ids[:, 1:].astype(">u8")).tobytes(), 8 * (n - 1)
+            keys = [raw[k : k + width] for k in range(0, len(raw), width)]
+            edges = np.append(np.flatnonzero(np.concatenate([[True], ids[1:, 0] != ids[:-1, 0]])), len(ids)).tolist()
+            heads = ids[edges[:-1], 0].astype(">u8").tobytes()
+            for k, (a, b) in enumerate(zip(edges, edges[1:])):
+                add(lang_id + heads[8 * k : 8 * k + 8], keys[a:b], counts[a:b])
+
+    def _rows(self, runs: Iterator[tuple[bytes, list[bytes], list[int]]]) -> Iterator[pa.RecordBatch]:
+        """Sorted runs as (lang, first, keys, counts), a row for each subtree."""
+        rows: list[tuple] = []
+        for prefix, keys, counts in runs:
+            rows.append((self.langs[prefix[:8]], int.from_bytes(prefix[8:], "big", signed=True), b"".join(keys), np.array(counts, dtype=np.int64).astype(np.uint32 if max(counts) < 1 << 32 else np.int64).tobytes()))
+            if len(rows) >= 4096:
+                yield _batch(rows)
+                rows = []
+        if rows:
+            yield _batch(rows)
 
     def full(self) -> Iterator[pa.RecordBatch]:
         if self.trie.entries > self.settings.most_entries:
-            yield from map(self.rows, self.trie.spill(self.settings.most_entries // 2))
-        if len(self.words) > self.settings.most_entries:
-            # words are only needed while a phrase holds them
-            yield from map(self.rows, self.trie.drain())
-            self.words.clear()
+            yield from self._rows(self.trie.spill(self.settings.most_entries // 2))
 
     def rest(self) -> Iterator[pa.RecordBatch]:
-        for run in self.trie.drain():
-            for at in range(0, len(run), 50_000):
-                yield self.rows(run[at : at + 50_000])
+        yield from self._rows(self.trie.spill())
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["lang", "first", "keys", "counts"])
+
+
+class Merger:
+    """Sums the runs of one prefix; what it holds is never much more than the distinct keys."""
+
+    def __init__(self, n: int):
+        self.n, self.ids, self.counts, self.waiting = n, [], [], 0
+
+    def add(self, keys: bytes, counts: bytes) -> None:
+        ids = np.frombuffer(keys, dtype=">u8").astype(np.uint64).reshape(-1, self.n - 1)
+        self.ids.append(ids)
+        self.counts.append(np.frombuffer(counts, dtype=np.uint32 if len(counts) == 4 * len(ids) else np.int64).astype(np.int64))
+        self.waiting += len(ids)
+        if self.waiting > 2 * len(self.ids[0]) + (1 << 20):
+            self.ids, self.counts = ([x] for x in self.merged())
+            self.waiting = len(self.ids[0])
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        ids, counts = np.concatenate(self.ids), np.concatenate(self.counts)
+        if len(self.ids) > 1:
+            order = np.lexsort(ids.T[::-1])
+            ids = ids[order]
+            first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]).any(axis=1)]))
+            ids, counts = ids[first], np.add.reduceat(counts[order], first)
+        return ids, counts
+
+
+def _word_ids(words: Column) -> Column:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            names = [w.encode("utf-8", "surrogatepass") for w in batch.to_pylist()]
+            raw = hashes_of(names).astype(">u8").tobytes()
+            yield pa.array([raw[k : k + 8] for k in range(0, len(raw), 8)], pa.binary())
+
+    return F.arrow_udf(run, "binary")(words)
 
 
 def frequent_words(documents: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
-    """(lang, phrase, f) of frequent words, and (lang, n) of all word occurrences."""
+    """(lang, word, key, f) of frequent words, and (lang, n) of all word occurrences."""
     lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = documents.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.explode(F.split(lower, r"[ \t.,;:!?\n\x0B\f\r]+")).alias("phrase"))
-    counted = stage(words.filter("phrase <> ''").groupBy("lang", "phrase").agg(F.count("*").alias("f")), "words")
-    return counted.filter(F.col("f") >= settings.least), counted.groupBy("lang").agg(F.sum("f").alias("n"))
+    words = documents.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.explode(F.split(lower, r"[ \t.,;:!?\n\x0B\f\r]+")).alias("word"))
+    counted = stage(words.filter("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("f")), "words")
+    frequent = counted.filter(F.col("f") >= settings.least).withColumn("key", _word_ids(F.col("word")))
+    return stage(frequent, "frequent-words"), counted.groupBy("lang").agg(F.sum("f").alias("n"))
 
 
 def frequent_phrases(documents: DataFrame, shorter: DataFrame, n: int, settings: Settings = Settings()) -> DataFrame:
-    """(lang, phrase, f) of the frequent phrases of ``n`` words; ``shorter`` are those with a word less."""
+    """(lang, key, f) of the frequent phrases of ``n`` words; ``shorter`` are those with a word less."""
 
     def hashes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array(phrase_hashes(batch.to_pylist()).view(np.int64))
+            yield pa.array(_hashes_of_rows(_ids(batch, n - 1)).view(np.int64))
 
-    known = hashed_set(shorter, F.arrow_udf(hashes, "long")("phrase"), shorter.count())
+    known = hashed_set(shorter, F.arrow_udf(hashes, "long")("key"), shorter.count())
     shared = documents.sparkSession.sparkContext.broadcast(known)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,10 +265,41 @@ def frequent_phrases(documents: DataFrame, shorter: DataFrame, n: int, settings:
         yield from counter.full()
         yield from counter.rest()
 
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, merger = None, None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            ids, counts = merger.merged()
+            kept = np.flatnonzero(counts >= settings.least)
+            if len(kept):
+                head = now[1].to_bytes(8, "big", signed=True)
+                keys = [head + row.tobytes() for row in ids[kept].astype(">u8")]
+                yield pa.RecordBatch.from_arrays([pa.array([now[0]] * len(kept)), pa.array(keys, pa.binary()), pa.array(counts[kept])], ["lang", "key", "f"])
+
+        for batch in batches:
+            for lang, first, keys, counts in zip(*batch.columns):
+                prefix = lang.as_py(), first.as_py()
+                if prefix != now:
+                    if merger:
+                        yield from done()
+                    now, merger = prefix, Merger(n)
+                merger.add(keys.as_py(), counts.as_py())
+        if merger:
+            yield from done()
+
     texts = documents.filter("text IS NOT NULL").select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text")
-    runs = texts.mapInArrow(count, "prefix long, lang string, phrase string, f long")
-    merged = runs.repartition("prefix").groupBy("prefix", "lang", "phrase").agg(F.sum("f").alias("f"))
-    return stage(merged.filter(F.col("f") >= settings.least).select("lang", "phrase", "f"), f"phrases-{n}")
+    runs = texts.mapInArrow(count, "lang string, first long, keys binary, counts binary")
+    dealt = runs.repartition("lang", "first").sortWithinPartitions("lang", "first")
+    return stage(dealt.mapInArrow(merge, "lang string, key binary, f long"), f"phrases-{n}")
+
+
+def with_text(phrases: DataFrame, words: DataFrame) -> DataFrame:
+    """(lang, phrase, f): the words of every key, from the table of frequent words."""
+    places = F.sequence(F.lit(0), F.expr("length(key) div 8 - 1"))
+    each = phrases.select("lang", "key", "f", F.posexplode(F.transform(places, lambda k: F.substring(F.col("key"), k * 8 + 1, F.lit(8)))).alias("place", "id"))
+    named = each.join(words.select("lang", F.col("key").alias("id"), "word"), ["lang", "id"])
+    put = named.groupBy("lang", "key", "f").agg(F.array_sort(F.collect_list(F.struct("place", "word"))).alias("words"))
+    return put.select("lang", F.concat_ws(" ", F.col("words.word")).alias("phrase"), "f")
 
 
 def _sub_phrases(words: Column, shortest: int, longest: int) -> Column:
@@ -267,10 +318,11 @@ def collocations(documents: DataFrame, settings: Settings = Settings()) -> DataF
     levels = [singles]
     for n in range(2, settings.longest + 1):
         levels.append(frequent_phrases(documents, levels[-1], n, settings))
-    candidates, counts = levels[1], levels[0]
+    candidates = levels[1]
     for level in levels[2:]:
         candidates = candidates.unionAll(level)
-    counts = counts.unionAll(candidates)
+    candidates = stage(with_text(candidates, singles), "candidates")
+    counts = singles.select("lang", F.col("word").alias("phrase"), "f").unionAll(candidates)
     words = F.split("phrase", " ")
     known = candidates.withColumn("words", words)
 
