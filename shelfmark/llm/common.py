@@ -57,6 +57,14 @@ def per_slice(make: Callable[[], Callable[[list[str | None]], object]], kind: pa
     return F.arrow_udf(run, from_arrow_type(kind)).asNondeterministic()(column)
 
 
+def free_name(rows: DataFrame, wanted: str) -> str:
+    """``wanted``, with as many ``_`` as it takes to be no column of ``rows``, whatever the letters' case."""
+    taken = {c.lower() for c in rows.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def fold(key: Column, folds: int) -> Column:
     """crc32 of the key's text, modulo ``folds``; NULL for a NULL key."""
     return F.crc32(key.cast("string")) % folds

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import per_text
+from shelfmark.llm.common import free_name, per_text
 from shelfmark.llm.words import STRETCH, hashes_of, mixed, plain, stretches, word_hashes
 
 WINDOW = 10
@@ -211,7 +211,8 @@ def clean(documents: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_B
     for items in benchmark_blocks(benchmark, block_bytes):
         shared = context.broadcast(Benchmark(items))
         hit = per_text(lambda b=shared: lambda text: bool(b.value.search(text)["spans"]), pa.bool_(), F.col("text"))
-        rows = rows.withColumn("_hit", hit).filter("NOT _hit").drop("_hit")
+        name = free_name(rows, "_hit")
+        rows = rows.withColumn(name, hit).filter(~F.col(name)).drop(name)
     return rows
 
 

@@ -27,7 +27,7 @@ import urllib.parse
 import uuid
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import per_text, texts_of
+from shelfmark.llm.common import free_name, per_text, texts_of
 
 SECRET = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("score", pa.float64())])
 FOUND = pa.struct([("n_candidates", pa.int64()), ("secrets", pa.list_(SECRET))])
@@ -61,11 +61,20 @@ _VALUE = re.compile(r"[:=]{0,2}>?(?:[^\S\n]*+\n){0,3}+[^\S\n]*+(?:Bearer\s+|Basi
 _QUOTED = {q: re.compile(rf"((?:[^{q}\\\n]|\\.)*+){q}") for q in "\"'`"}
 _ADDRESS = re.compile(r"://[^\s/?#:@\"'`<>]*+:([^\s/?#\"'`<>]+)@")
 _FORM_START = re.compile(r"[AaGgXxSsEe](?<![A-Za-z0-9].)(?:[KkSs][Ii][Aa]|[Hh][A-Za-z]_|[Oo][Xx]|[Kk][-_]|[Ii][Zz][Aa]|[Yy][Jj]|[Ll][Pp][Aa][Tt]-)", re.DOTALL)
-_NAME = re.compile(r"([A-Za-z_][A-Za-z0-9_.-]{0,60})[\"'`\]]{0,2}\s{0,3}$")
-_PEM = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END [A-Z ]{0,30}PRIVATE KEY-----")
+_NAME_CUES = STRONG_CUES + WEAK_CUES + BENIGN_CUES + ("authorization",)
+_LONGEST_CUE = max(map(len, _NAME_CUES))
+_CUE = re.compile("|".join(sorted(map(re.escape, _NAME_CUES), key=len, reverse=True)), re.IGNORECASE)
+# a name before a sign, read backwards
+_NAME = re.compile(r"\s{0,3}[\"'`\]]{0,2}([A-Za-z0-9_.-]{0,60}[A-Za-z_])")
+# a private key with its headers, whole or cut off after some of its lines; line ends may be escaped
+_PEM = re.compile(
+    r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----(?:(?:\s|\\[nr])*+[A-Za-z][A-Za-z-]{0,30}: [^\n\\]*+)*+"
+    r"(?:[A-Za-z0-9+/=\s\\]*+-----END [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----|(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{16,}+={0,2})++)"
+)
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 _HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _WORDS = re.compile(r"(?<![a-z0-9_])[a-z]{3,}+(?![a-z0-9_])")
+_SHORTEST = 6  # characters of a candidate: shorter values, quoted ones as well, are none
 _AROUND = 48
 _WINDOW = 512  # characters of a candidate that per-character features read at a time; its length counts in full
 _STRETCH = 1 << 20  # characters of a text whose letter pairs are counted at a time
@@ -108,25 +117,47 @@ def _fixed(text: str) -> list[Candidate]:
     return out
 
 
-def _assigned(text: str) -> list[Candidate]:
-    """Values assigned to a name that tells something, and passwords of addresses."""
-    found = []
+def _assigned(text: str, fixed: list[int]) -> list[Candidate]:
+    """Values assigned to a name that tells something, and passwords of addresses; ``fixed`` is where known forms begin."""
+    found, inner, upto, known, last = [], [], 0, set(fixed), None
+    cues, near, cue = _CUE.finditer(text), -1, None
     for m in _ASSIGN.finditer(text):
+        # a sign within a value begins none of its own, unless a known form follows: each value is read once
+        within = m.start() < upto
+        if within and (last is None or m.end() not in known):
+            continue
+        while cue is None or cue.start() < m.start():
+            near = cue.start() if cue else near
+            cue = next(cues, None)
+            if cue is None:
+                break
         end, lines = m.start(), 0
         while end and text[end - 1].isspace() and lines <= 3:
             end -= 1
             lines += text[end] == "\n"
-        name = _NAME.search(text[max(0, end - 70) : end])
-        if name is None or lines > 3 or not any(cue in name[1].lower() for cue in STRONG_CUES + WEAK_CUES + BENIGN_CUES + ("authorization",)):
+        if near < 0 or near < end - 70 - _LONGEST_CUE or lines > 3:
+            continue
+        before = _NAME.match(text[max(0, end - 70) : end][::-1])
+        name = before[1][::-1] if before else ""
+        if not any(c in name.lower() for c in _NAME_CUES):
+            continue
+        if within:
+            after = bisect.bisect_right(fixed, m.end())
+            inner.append(Candidate(m.end(), min([last.end, *fixed[after : after + 1]]), "assigned", name))
             continue
         value = _VALUE.match(text, m.start())
         quoted = _QUOTED[value[1]].match(text, value.end(1)) if value[1] else None
         if quoted:
             if "://" not in quoted[1]:
-                found.append(Candidate(quoted.start(1), quoted.end(1), "assigned", name[1]))
-        elif value[2] and "://" not in value[0]:
-            found.append(Candidate(value.start(2), value.start(2) + len(value[2].rstrip(".!?:#*&$%")), "assigned", name[1]))
-    return found + [Candidate(m.start(1), m.end(1), "assigned", "password") for m in _ADDRESS.finditer(text)]
+                found.append(Candidate(quoted.start(1), quoted.end(1), "assigned", name))
+        elif value[2] and "://" in value[0]:
+            last, upto = None, m.start() + value[0].rindex("://") + 1  # signs before it have values that hold it as well
+        elif value[2]:
+            found.append(Candidate(value.start(2), value.start(2) + len(value[2].rstrip(".!?:#*&$%")), "assigned", name))
+        if found and found[-1].end - found[-1].start >= _SHORTEST:
+            last = found[-1]  # signs at its very end may have a value behind it
+            upto = max(upto, last.start + len(text[last.start : last.end].rstrip(":=")))
+    return found + inner + [Candidate(m.start(1), m.end(1), "assigned", "password") for m in _ADDRESS.finditer(text)]
 
 
 def _runs(text: str) -> list[Candidate]:
@@ -164,7 +195,7 @@ def candidates(text: str) -> list[Candidate]:
     fixed = _fixed(text)
     starts = [c.start for c in fixed]
     found = list(fixed)
-    for c in _assigned(text):
+    for c in _assigned(text, starts):
         found += [Candidate(a, b, c.kind, c.name) for a, b in _without(c, fixed, starts)]
     for c in _runs(text):
         for a, b in _without(c, fixed, starts):
@@ -174,7 +205,7 @@ def candidates(text: str) -> list[Candidate]:
                 a += run.index(stripped)
                 found.append(Candidate(a, a + len(stripped), "run", ""))
     out, upto = [], 0
-    for c in sorted((c for c in found if c.end - c.start >= 6), key=lambda c: (c.start, c.kind == "run", -c.end)):
+    for c in sorted((c for c in found if c.end - c.start >= _SHORTEST), key=lambda c: (c.start, c.kind == "run", -c.end)):
         if c.start >= upto:
             out.append(c)
             upto = c.end
@@ -421,6 +452,31 @@ def _random_value(r: random.Random) -> str:
     )
 
 
+def _pem(r: random.Random, label: str, body: Callable[[int], str]) -> str:
+    """A block of lines between BEGIN and END, at times with headers, escaped line ends, or cut off."""
+    text = body(r.choice((64, 120, 400, 900, 1600)))
+    lines = [text[k : k + 64] for k in range(0, len(text), 64)]
+    if r.random() < 0.25:
+        lines = [*r.choice((["Proc-Type: 4,ENCRYPTED", f"DEK-Info: AES-256-CBC,{r.getrandbits(128):032X}", ""], ["Version: GnuPG v2", ""])), *lines]
+    whole = [f"-----BEGIN {label}-----", *lines, f"-----END {label}-----"]
+    if r.random() < 0.2 and len(lines) > 1:
+        whole = whole[: r.randrange(2, len(whole))]
+    return r.choice(("\n", "\n", "\n", "\\n")).join(whole)
+
+
+def _private_key(r: random.Random) -> str:
+    label = r.choice(("RSA PRIVATE KEY", "PRIVATE KEY", "EC PRIVATE KEY", "OPENSSH PRIVATE KEY", "ENCRYPTED PRIVATE KEY", "PGP PRIVATE KEY BLOCK"))
+    return _pem(r, label, lambda n: base64.b64encode(r.randbytes(n)).decode())
+
+
+def _no_private_key(r: random.Random, words: list[str]) -> str:
+    """A public key, a certificate, or a private key that is only shown as an example."""
+    if r.random() < 0.3:
+        filler = r.choice(("x", "A", "yourprivatekeyhere", "examplekey", "".join(r.choice(words) for _ in range(3))))
+        return _pem(r, r.choice(("RSA PRIVATE KEY", "PRIVATE KEY")), lambda n: (filler * n)[:n])
+    return _pem(r, r.choice(("CERTIFICATE", "PUBLIC KEY", "RSA PUBLIC KEY", "CERTIFICATE REQUEST", "PGP PUBLIC KEY BLOCK")), lambda n: base64.b64encode(r.randbytes(min(n, 200))).decode())
+
+
 def _harmless_value(r: random.Random, words: list[str]) -> str:
     some = lambda n: [r.choice(words) for _ in range(n)]
     return r.choice(
@@ -475,7 +531,11 @@ def planted_findings(texts: list[str], settings: Settings = Settings(), words: I
         at = r.randrange(len(text) + 1)
         before, after = text[max(0, at - 120) : at], text[at : at + 120]
         secret = r.random() < 0.5
-        if secret:
+        if r.random() < 0.06:
+            piece = value = _private_key(r) if secret else _no_private_key(r, words)
+            if r.random() < 0.3:
+                piece = r.choice(_FORMS[:5]).format(n=r.choice(("private_key", "key", "tls_key", "cert")), v=value)
+        elif secret:
             value = _random_value(r)
             known = KNOWN_FORM.match(value)
             if known and r.random() < 0.4:
@@ -574,12 +634,12 @@ def scan(documents: DataFrame, scanner: Scanner, path: str | None = None) -> Dat
 
 def redact(documents: DataFrame, scanner: Scanner, path: str | None = None) -> DataFrame:
     """The documents with every secret replaced by ``PLACEHOLDER``, and ``n_chars`` as it is then."""
-    clean = _with(documents, scanner, pa.string(), "redacted", path)
-    text = F.coalesce(F.col("_clean_text"), F.col("text"))
-    after = documents.withColumn("_clean_text", clean)
-    changed = F.col("_clean_text").isNotNull()
+    clean = free_name(documents, "_clean_text")
+    text = F.coalesce(F.col(clean), F.col("text"))
+    after = documents.withColumn(clean, _with(documents, scanner, pa.string(), "redacted", path))
+    changed = F.col(clean).isNotNull()
     columns = [
-        text.alias("text") if c == "text" else F.when(changed, F.char_length("_clean_text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias(c) if c == "n_chars" else F.col(f"`{c}`")
+        text.alias("text") if c == "text" else F.when(changed, F.char_length(clean).cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias(c) if c == "n_chars" else F.col(f"`{c}`")
         for c in documents.columns
     ]
     return after.select(*columns)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import per_text
+from shelfmark.llm.common import free_name, per_text
 from shelfmark.llm.components import connected_components
 from shelfmark.session import stage
 
@@ -187,8 +187,9 @@ def one_of_each(documents: DataFrame, radius: int = RADIUS, tile: int = TILE) ->
     single = documents.join(heads.filter("n = 1").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
     # ids that repeat, or are missing: the fingerprint says which component a row is of
     again = documents.join(heads.filter("n > 1").select("doc_id"), "doc_id", "left_semi")
-    again = again.unionByName(documents.filter("doc_id IS NULL")).withColumn("_fp", fingerprints(documents))
-    again = again.join(of.select(F.col("fp").alias("_fp"), F.col("label").alias("_label"), F.col("component_id").alias("_component")), "_fp")
-    again = again.filter("doc_id <=> _component").dropDuplicates(["_label"])
+    fp, label, component = (free_name(documents, name) for name in ("_fp", "_label", "_component"))
+    again = again.unionByName(documents.filter("doc_id IS NULL")).withColumn(fp, fingerprints(documents))
+    again = again.join(of.select(F.col("fp").alias(fp), F.col("label").alias(label), F.col("component_id").alias(component)), fp)
+    again = again.filter(F.col("doc_id").eqNullSafe(F.col(component))).dropDuplicates([label])
     columns = [F.col(f"`{c}`") for c in documents.columns]
     return single.select(*columns).unionAll(again.select(*columns))
