@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import bpe, decontaminate, language_id, secret_scan, simhash
+from shelfmark.llm.common import free_name
 from shelfmark.llm.queries import table, word_bpe
 from shelfmark.session import new_shared_path
 
@@ -27,9 +28,10 @@ LEAST_CONFIDENCE = 0.35
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is recognised; a NULL text goes."""
     model = language_id.fit(docs, ~language_id.held_out(F.col("doc_id"), 4, 2))
-    found = F.col("_language_found")
+    name = free_name(docs, "_language_found")
+    found = F.col(name)
     sure = (found["lang_pred"] != language_id.UNDETERMINED) & (found["score"] >= LEAST_CONFIDENCE)
-    return docs.withColumn("_language_found", language_id.language(docs, model)).filter(sure).drop("_language_found")
+    return docs.withColumn(name, language_id.language(docs, model)).filter(sure).drop(name)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
