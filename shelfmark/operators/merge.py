@@ -126,6 +126,11 @@ def _stamp(index: DataFrame, hit: Column, as_of: Column, values: dict[str, Colum
     return index.withColumns(changed)
 
 
+def rows_of(index: DataFrame, changes: DataFrame, on: list[str]) -> DataFrame:
+    """The rows that changes name: what a change of them has to read and write."""
+    return index.join(changes.select(*on).distinct(), on, "left_semi")
+
+
 def set_status(index: DataFrame, changes: DataFrame, as_of: Column, order: list[str] | None = None) -> DataFrame:
     """Apply (id, new_status); ids that are not in the index do nothing.
 

@@ -84,10 +84,16 @@ class Run:
         def work():
             index = self.store.read()
             changes = refresh.plan_refresh(index, contents, repos, layout, limit)
-            after = refresh.apply_refresh(index, changes, now)
-            self.store.publish(after, self.as_of, clustered=self.store.version() > 0)
+            self.store.publish_changes(refresh.changed_rows(index, changes, now), self.as_of)
             totals = counters.refresh_counters(changes).first().asDict()
             return totals, (totals["checked"], totals["updated"], totals["not_modified"])
 
         label = "all" if limit is None else str(limit)
         return self._recorded("update_check", f"Checking {label} skills", work)
+
+    def review(self, changes: DataFrame, order: list[str] | None = None) -> int:
+        """Apply (id, new_status) and write the rows that it changes; gives the new version."""
+        with staging(self.store.spark):
+            asked = stage(changes.select("id", "new_status", *(order or [])), "asked")
+            rows = merge.set_status(merge.rows_of(self.store.read(), asked, ["id"]), asked, F.lit(self.as_of), order)
+            return self.store.publish_changes(rows, self.as_of)

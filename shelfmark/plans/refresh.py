@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfmark import schemas
 from shelfmark.functions.coerce import flag01
 from shelfmark.functions.risk import DEFAULT_RULES, risk_flags, risk_level
-from shelfmark.operators import review
+from shelfmark.operators import merge, review
 from shelfmark.operators.dedup import one_row_per
 from shelfmark.operators.layout import FLAGS, attach_flags
 from shelfmark.operators.skew import lookup_join
@@ -108,3 +108,9 @@ def apply_refresh(index: DataFrame, changes: DataFrame, as_of: Column) -> DataFr
         return new.cast(kind).alias(name)
 
     return joined.select(*[after(c) for c in index.columns])
+
+
+def changed_rows(index: DataFrame, changes: DataFrame, as_of: Column) -> DataFrame:
+    """The rows that a re-check changes, as they are then; all others stay as they are."""
+    kept = changes.filter(F.col("effect").isin("updated", "not_modified", "offline"))
+    return apply_refresh(merge.rows_of(index, kept, KEY), kept, as_of)

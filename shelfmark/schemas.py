@@ -82,7 +82,7 @@ RUN_EVENTS = struct(
     at=TIME,
 )
 
-COMMITS = struct(version=LONG, path=STRING, batch_id=STRING, buckets=INT, committed_at=TIME)
+COMMITS = struct(version=LONG, path=STRING, batch_id=STRING, buckets=INT, committed_at=TIME, changes=BOOL)
 
 KNOWN_REPOS = struct(
     repo_full_name=STRING,

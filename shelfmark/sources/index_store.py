@@ -4,6 +4,10 @@ A version is an ordinary Parquet directory.  It becomes current when its row in
 the commit log is written, so readers never see half a version and a failed job
 leaves nothing behind that counts.  The row of a version has a directory of its
 own, which a second writer of that version finds taken: it is refused.
+
+A version holds the whole index, or only the rows that changed since the one before
+(``publish_changes``).  A reader takes the last whole version and, for each key, the
+newest of the change rows after it; ``fold`` writes that as a whole version.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark import schemas
+from shelfmark.operators import dedup
 from shelfmark.session import remove
 
 
@@ -60,11 +65,12 @@ class IndexStore:
     """Versioned index.
 
     With ``buckets`` the rows of a version are bucketed and sorted by key, and the
-    joins of the next merge need no shuffle on the index side.
+    joins of the next merge need no shuffle on the index side.  ``key`` says which
+    rows a change row replaces.
     """
 
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType = schemas.INDEX, buckets: int | None = None):
-        self.spark, self.root, self.schema, self.buckets = spark, root.rstrip("/"), schema, buckets
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType = schemas.INDEX, buckets: int | None = None, key: list[str] = schemas.KEY):
+        self.spark, self.root, self.schema, self.buckets, self.key = spark, root.rstrip("/"), schema, buckets, key
         self.commits = EventLog(spark, f"{self.root}/commits", schemas.COMMITS)
 
     def _last(self):
@@ -77,14 +83,31 @@ class IndexStore:
     def has_batch(self, batch_id: str) -> bool:
         return not self.commits.read().filter(F.col("batch_id") == batch_id).isEmpty()
 
-    def read(self, version: int | None = None) -> DataFrame:
+    def _parts(self, version: int | None = None) -> list:
+        """The commits that make up a version: a whole one, then its changes in order."""
         log = self.commits.read()
-        row = self._last() if version is None else log.filter(F.col("version") == version).first()
-        if row is None:
+        if version is not None:
+            log = log.filter(F.col("version") <= version)
+        whole = log.filter(~F.coalesce("changes", F.lit(False))).agg(F.max("version")).first()[0]
+        return [] if whole is None else log.filter(F.col("version") >= whole).orderBy("version").collect()
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """A version, by default the last one; no rows for a version that does not exist."""
+        parts = self._parts(version)
+        if not parts or (version is not None and parts[-1]["version"] != version):
             return self.spark.createDataFrame([], self.schema)
-        if row["buckets"]:
-            return self._bucketed(row["path"], row["buckets"])
-        return self.spark.read.schema(self.schema).parquet(row["path"])
+        base, *changes = parts
+        rows = self._bucketed(base["path"], base["buckets"]) if base["buckets"] else self.spark.read.schema(self.schema).parquet(base["path"])
+        if not changes:
+            return rows
+        read = self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("_version", T.LongType())]))
+        newest = read.parquet(*[c["path"] for c in changes])
+        if len(changes) > 1:
+            newest = dedup.last_wins(newest, self.key, ["_version"], keep_first=())
+        newest = newest.select(*self.schema.names)
+        if base["buckets"]:  # they lie by bucket as the others do
+            newest = newest.repartition(base["buckets"], *self.key)
+        return rows.join(newest.select(*self.key), self.key, "left_anti").select(*self.schema.names).unionByName(newest)
 
     def _table(self, path: str) -> str:
         return "shelfmark_" + path.rsplit("-", 1)[-1]
@@ -116,7 +139,28 @@ class IndexStore:
             writer.option("path", path).format("parquet").saveAsTable(self._table(path))
         else:
             rows.write.parquet(path)
-        commit = [(version, path, batch_id, self.buckets, as_of)]
+        return self._commit(version, path, batch_id, as_of, self.buckets, False)
+
+    def publish_changes(self, rows: DataFrame, as_of: datetime, batch_id: str | None = None) -> int:
+        """Commit a version that differs from the last one by these whole rows, one for each key.
+
+        Nothing else is written.  The first version of an index is a whole one.
+        """
+        if batch_id is not None and self.has_batch(batch_id):
+            return self.version()
+        last = self.version()
+        if not last:
+            return self.publish(rows, as_of, batch_id)
+        path = f"{self.root}/changes/v{last + 1:08d}-{uuid.uuid4().hex}"
+        conform(rows, self.schema).withColumn("_version", F.lit(last + 1).cast("long")).write.parquet(path)
+        return self._commit(last + 1, path, batch_id, as_of, None, True)
+
+    def fold(self, as_of: datetime) -> int:
+        """Write the last version as a whole one if it consists of changes."""
+        return self.publish(self.read(), as_of) if len(self._parts()) > 1 else self.version()
+
+    def _commit(self, version: int, path: str, batch_id: str | None, as_of: datetime, buckets: int | None, changes: bool) -> int:
+        commit = [(version, path, batch_id, buckets, as_of, changes)]
         try:
             self.commits.append_once(self.spark.createDataFrame(commit, schemas.COMMITS), f"v{version:08d}")
         except AnalysisException as error:
@@ -126,8 +170,12 @@ class IndexStore:
         return version
 
     def remove_old(self, keep: int = 2) -> list[int]:
-        """Remove the files and tables of all but the last ``keep`` versions; the commit log stays."""
-        old = self.commits.read().orderBy(F.col("version").desc()).select("version", "path", "buckets").collect()[max(1, keep) :]
+        """Remove the files and tables that the last ``keep`` versions do not need; the commit log stays."""
+        every = self.commits.read().orderBy(F.col("version").desc()).collect()
+        first = every[: max(1, keep)][-1]["version"] if every else 0
+        # a version of changes needs the whole one before it, and the changes between
+        whole = max((r["version"] for r in every if r["version"] <= first and not r["changes"]), default=first)
+        old = [r for r in every if r["version"] < whole]
         for row in old:
             if row["buckets"]:
                 self.spark.sql(f"DROP TABLE IF EXISTS {self._table(row['path'])}")

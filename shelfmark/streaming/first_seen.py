@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from shelfmark import schemas
 from shelfmark.operators import dedup
-from shelfmark.session import stage
+from shelfmark.session import stage, staging
 
 ARRIVAL = ["seen_at", *dedup.ARRIVAL]
 
@@ -47,11 +47,22 @@ class FirstSeen:
         return self._read("rejected", "batch long, n long")
 
     def add(self, hits: DataFrame, batch: int) -> None:
-        """Store the first hit of every key that no earlier batch holds."""
-        hits = stage(hits.select(*schemas.HITS.names), "hits")
-        new = dedup.first_seen(hits.filter(dedup.has_required_fields()), arrival=ARRIVAL)
+        """Store the first hit of every key that no earlier batch holds.
+
+        Stored keys are filtered by the batch's keys first, which are few: Spark broadcasts them,
+        and the history is read where it lies instead of being shuffled.
+        """
+        with staging(self.spark):
+            self._add(stage(hits.select(*schemas.HITS.names), "hits"), batch)
+
+    def fresh(self, hits: DataFrame, batch: int) -> DataFrame:
+        new = stage(dedup.first_seen(hits.filter(dedup.has_required_fields()), arrival=ARRIVAL), "new-keys")
         known = self.firsts().filter(F.col("batch") < batch).select("hit_key")
-        fresh = new.join(known, "hit_key", "left_anti").select("hit_key", "n_seen", *schemas.HITS.names)
+        seen = known.join(new.select("hit_key"), "hit_key", "left_semi")
+        return new.join(seen, "hit_key", "left_anti").select("hit_key", "n_seen", *schemas.HITS.names)
+
+    def _add(self, hits: DataFrame, batch: int) -> None:
+        fresh = self.fresh(hits, batch)
         fresh.write.mode("overwrite").parquet(f"{self.root}/firsts/batch={batch}")
         lacking = hits.filter(~dedup.has_required_fields()).agg(F.count("*").alias("n"))
         lacking.write.mode("overwrite").parquet(f"{self.root}/rejected/batch={batch}")

@@ -14,7 +14,7 @@ from shelfmark import schemas
 from shelfmark.functions.risk import DEFAULT_RULES
 from shelfmark.operators import dedup, merge
 from shelfmark.plans.records import CANDIDATE_COLUMNS, build_records, busy_candidates, saved_records
-from shelfmark.session import stage, staging
+from shelfmark.session import remove, stage, staging
 from shelfmark.sources import landing
 from shelfmark.sources.index_store import IndexStore
 
@@ -68,13 +68,20 @@ class Pending:
     def fold(self, as_of: datetime) -> int:
         """Merge everything pending in one version; with nothing pending the index stays as it is."""
         rows = self.read()
-        upto = rows.agg(F.max("batch").alias("n")).first()["n"]
-        if upto is None:
+        numbers = sorted(r["batch"] for r in rows.select("batch").distinct().collect())
+        if not numbers:
             return self.store.version()
+        upto = numbers[-1]
         with staging(self.store.spark):
             records = stage(dedup.last_wins(rows.drop("batch"), schemas.KEY, ["seq"]), "records")
             index = merge.upsert(self.store.read(), records, F.lit(as_of), buckets=self.store.buckets)
-            return self.store.publish(index, as_of, f"{self.name}#{upto}", clustered=self.store.version() > 0)
+            version = self.store.publish(index, as_of, f"{self.name}#{upto}", clustered=self.store.version() > 0)
+        self._remove_folded(numbers)
+        return version
+
+    def _remove_folded(self, numbers: list[int]) -> None:
+        for number in numbers:
+            remove(self.store.spark, f"{self.path}/batch={number}")
 
 
 def ingest(

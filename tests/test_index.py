@@ -233,3 +233,46 @@ def test_merging_into_a_bucketed_index_keeps_its_layout(spark, shared, broadcast
         assert again.count() == len(new)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def files_under(path):
+    from pathlib import Path
+
+    return {str(f.relative_to(path)): f.stat().st_size for f in Path(path).rglob("*.parquet")}
+
+
+@pytest.mark.parametrize("buckets", [None, 3])
+def test_change_rows_replace_rows_until_they_are_folded(spark, shared, buckets):
+    store = index_store.IndexStore(spark, shared, buckets=buckets)
+    changed = lambda status: merge.set_status(merge.rows_of(store.read(), status, ["id"]), status, F.lit(T1))
+    status = lambda *rows: spark.createDataFrame(list(rows), "id long, new_status string")
+    many = spark.range(1, 2001).selectExpr("id", "'a/a' AS repo_full_name", "concat('p', id) AS skill_path", "5 AS stars", "'pending' AS status")
+    assert store.publish_changes(index_store.conform(many), T0) == 1  # the first version is whole
+    before = files_under(shared)
+    assert store.publish_changes(changed(status((1, "approved"), (2, "risky"), (9999, "approved"))), T1, "one") == 2
+    assert store.publish_changes(changed(status((2, "rejected"))), T1) == 3
+    assert store.publish_changes(store.read(), T1, "one") == 3
+    written = {f: n for f, n in files_under(shared).items() if f not in before}
+    assert sum(spark.read.parquet(f"{shared}/{f}").count() for f in written) == 3
+    assert sum(written.values()) < sum(before.values())
+    by = lambda df: {r.id: r.status for r in df.collect() if r.status != "pending"}
+    assert by(store.read()) == {1: "approved", 2: "rejected"} and store.read().count() == 2000
+    assert by(store.read(2)) == {1: "approved", 2: "risky"} and by(store.read(1)) == {} and store.read(8).count() == 0
+    # a new key is a change as well, and a merge goes on from there
+    fresh = index_store.conform(store.read().filter("id = 1").withColumns({"id": F.lit(3000).cast("long"), "skill_path": F.lit("new")}))
+    assert store.publish_changes(fresh, T1) == 4 and store.read().count() == 2001
+    merged = merge.upsert(store.read(), batch(spark), F.lit(T1), buckets=buckets)
+    assert merged.count() == 2004
+    state_before = state(store.read(), *schemas.INDEX.names)
+    assert store.fold(T1) == 5 and store.fold(T1) == 5
+    assert state(store.read(), *schemas.INDEX.names) == state_before
+    assert store.publish_changes(changed(status((7, "offline"))), T1) == 6
+    assert store.remove_old(keep=1) == [4, 3, 2, 1]  # the changes of version 6 need version 5
+    assert by(store.read()) == {1: "approved", 2: "rejected", 7: "offline", 3000: "approved"}
+
+
+def test_changes_of_a_store_with_another_key(spark, shared):
+    store = index_store.IndexStore(spark, shared, schema=schemas.KNOWN_REPOS, key=["repo_full_name"])
+    store.publish(index_store.conform(spark.createDataFrame([("a/a",), ("b/b",)], "repo_full_name string"), schemas.KNOWN_REPOS), T0)
+    store.publish_changes(index_store.conform(spark.createDataFrame([("b/b", "x")], "repo_full_name string, source_level string"), schemas.KNOWN_REPOS), T1)
+    assert {r.repo_full_name: r.source_level for r in store.read().collect()} == {"a/a": None, "b/b": "x"}

@@ -113,10 +113,14 @@ def test_jobs_write_index_and_ledger(spark, world, shared):
     assert states == {1: ("success", 5, 0, None), 2: ("failed", 0, 0, "boom"), 3: ("success", 0, 0, None)}
 
 
-def test_refresh(spark, world):
+def due_index(spark):
     rows = [(n, r, p, API.format(r, p), "e" if p == "w/SKILL.md" else "old", "approved", 77, p.rpartition("/")[0]) for n, (r, p, _, _) in enumerate(FILES)]
     rows += [(90, "o/a", "u", "unknown", None, "approved", 1, ""), (91, "o/a", "t", API.format("o/a", "x/SKILL.md"), "old", "pending", 1, "")]
-    old = index_store.conform(spark.createDataFrame(rows, "id long, repo_full_name string, skill_path string, skill_api_url string, skill_etag string, status string, stars int, skill_dir string").withColumn("slug", F.lit("s")))
+    return index_store.conform(spark.createDataFrame(rows, "id long, repo_full_name string, skill_path string, skill_api_url string, skill_etag string, status string, stars int, skill_dir string").withColumn("slug", F.lit("s")))
+
+
+def test_refresh(spark, world):
+    old = due_index(spark)
     changes = refresh.plan_refresh(old, world["contents"], world["repos"], world["layout"])
     effects = {r["id"]: r["effect"] for r in changes.collect()}
     assert effects == {0: "updated", 1: "unusable", 2: "not_modified", 3: "offline", 4: "not_modified", 5: "updated", 90: "error"}
@@ -257,3 +261,48 @@ def exchanges(plan):
     for k in range(children.size()):
         found += exchanges(children.apply(k))
     return found
+
+
+def test_a_refresh_writes_only_the_rows_it_changes(spark, world, shared):
+    from pathlib import Path
+
+    store, log = index_store.IndexStore(spark, f"{shared}/index"), index_store.EventLog(spark, f"{shared}/runs")
+    old = due_index(spark)
+    store.publish(old, NOW)
+    files = set(Path(f"{shared}/index").rglob("*.parquet"))
+    whole = refresh.apply_refresh(old, refresh.plan_refresh(old, world["contents"], world["repos"], world["layout"]), world["as_of"])
+    run = jobs.Run(store, log, 1, NOW)
+    totals = run.refresh(world["contents"], world["repos"], world["layout"])
+    written = sum(spark.read.parquet(str(f)).count() for f in set(Path(f"{shared}/index").rglob("*.parquet")) - files)
+    assert 0 < written <= totals["checked"] < old.count() + totals["checked"]
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(store.read()) == rows(whole.select(*store.read().columns))
+    assert run.review(spark.createDataFrame([(1, "rejected"), (77, "approved")], "id long, new_status string")) == 3
+    assert store.read().filter("id = 1").first().status == "rejected"
+
+
+def test_stored_keys_are_not_shuffled(spark, shared):
+    seen = first_seen.FirstSeen(spark, shared)
+    hit = {f.name: None for f in schemas.HITS.fields}
+    hits = lambda *paths: spark.createDataFrame([{**hit, "repo_full_name": "a/a", "skill_path": p, "api_url": p} for p in paths], schemas.HITS)
+    seen.add(hits("p1", "p2", "p1"), 0)
+    fresh = seen.fresh(hits("p2", "p3"), 1)
+    assert [r.skill_path for r in fresh.collect()] == ["p3"]
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert "SortMergeJoin" not in final and "hashpartitioning(hit_key" not in final, final
+
+
+def test_folded_batches_are_removed(spark, world, shared):
+    from pathlib import Path
+
+    store = index_store.IndexStore(spark, f"{shared}/index")
+    pending = ingest.Pending(store, "feed")
+    rows = due_index(spark).select(*[c for c in schemas.INDEX.names if c in schemas.RECORD_COLUMNS])
+    found = rows.withColumn("seq", F.lit(1).cast("long"))
+    pending.add(found, 0)
+    pending.add(found.limit(1), 1)
+    version = pending.fold(NOW)
+    assert version == 1 and not list(Path(pending.path).rglob("*.parquet"))
+    pending.add(found.limit(2), 1)  # replayed after the fold: it counts no more
+    assert pending.fold(NOW) == 1 and store.read().count() == found.count()
