@@ -155,7 +155,7 @@ class Tokenizer:
         """The tokens of text without special tokens."""
         for step in self.steps:
             text = step(text)
-        words = self.split.findall(text)
+        words = self.split(text)
         return self.word(words[0]) if len(words) == 1 else tuple(chain.from_iterable(map(self.word, words)))
 
     def parts(self, text: str) -> Iterator[tuple[int, ...]]:
@@ -194,6 +194,45 @@ class Tokenizer:
 
 _SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
 
+# The library's parts follow different versions of Unicode.  Its word pattern
+# follows version 16, its NFC version 9 and its lower case version 17, whereas the `regex`
+# module is newer and Python's tables are those of 15.1.  First and last code points.
+# letters and numbers that came after version 16; the library takes them for signs
+_LATER_LETTERS = [
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F),
+    (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D),
+    (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB),
+    (0x11DF1, 0x11DF1), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF3), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA),
+    (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168),
+    (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE),
+    (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F),
+    (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+]
+_LATER_NUMBERS = [(0x11DE0, 0x11DE9), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16FF4, 0x16FF6)]
+# marks that came after version 9, and the second half of U+11938; the library neither orders nor composes them
+_LATER_MARKS = [
+    (0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C), (0xEBA, 0xEBA), (0x1715, 0x1715),
+    (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA), (0xA82C, 0xA82C), (0x10D24, 0x10D27), (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF), (0x10F46, 0x10F50),
+    (0x10F82, 0x10F85), (0x11070, 0x11070), (0x1133B, 0x1133B), (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x11930, 0x11930),
+    (0x1193D, 0x1193E), (0x11943, 0x11943), (0x119E0, 0x119E0), (0x11A34, 0x11A34), (0x11A47, 0x11A47), (0x11A99, 0x11A99),
+    (0x11D42, 0x11D42), (0x11D44, 0x11D45), (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F),
+    (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
+]
+# capitals that came after version 15.1, and the small letter of the first
+_LATER_CAPITALS = [
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3),
+    (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+]
+
+
+def _class(ranges: Iterable[tuple[int, int]]) -> str:
+    return "[" + "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in ranges) + "]"
+
+
+_LATER_SIGN = regex.compile(_class(_LATER_LETTERS + _LATER_NUMBERS))
+_LATER_MARK = regex.compile("(" + _class(_LATER_MARKS) + ")")
+_SMALL = {c: small + c - a for a, b, small in _LATER_CAPITALS for c in range(a, b + 1)}
+
 
 class _Chunks(dict):
     def __init__(self, tokenizer: Tokenizer):
@@ -209,7 +248,24 @@ class _Chunks(dict):
 
 def _lower(text: str) -> str:
     """Lower case, a character at a time: no final sigma."""
-    return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
+    low = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
+    return low if low.isascii() else low.translate(_SMALL)
+
+
+def _nfc(text: str) -> str:
+    if text.isascii():
+        return text
+    # what lies between two characters that neither move nor compose is normalised by itself
+    return "".join(p if k % 2 else unicodedata.normalize("NFC", p) for k, p in enumerate(_LATER_MARK.split(text)))
+
+
+def _word_finder(pattern: str):
+    """Finds the words of a text as the library's version of Unicode does."""
+    plain = regex.compile(pattern)
+    for name, later in (("L", _LATER_LETTERS), ("N", _LATER_NUMBERS)):
+        pattern = pattern.replace(rf"\p{{{name}}}", rf"[\p{{{name}}}--{_class(later)}]")
+    exact = regex.compile(pattern, regex.V1)
+    return lambda text: (plain if text.isascii() or not _LATER_SIGN.search(text) else exact).findall(text)
 
 
 def _reader(spec: dict):
@@ -217,7 +273,7 @@ def _reader(spec: dict):
     steps = []
     for n in (spec.get("normalizer") or {}).get("normalizers", []):
         if n["type"] == "NFC":
-            steps.append(lambda t: t if t.isascii() else unicodedata.normalize("NFC", t))
+            steps.append(_nfc)
         elif n["type"] == "Lowercase":
             steps.append(_lower)
         elif n["type"] != "Replace" or n["pattern"] != {"Regex": "\\s+"}:
@@ -226,7 +282,7 @@ def _reader(spec: dict):
     split = before.get("Split")
     if split is None or split["behavior"] != "Removed" or not split["invert"] or before.get("ByteLevel", {}).get("add_prefix_space"):
         raise ValueError("unknown pre-tokenizer")
-    return regex.compile(split["pattern"]["Regex"]), steps
+    return _word_finder(split["pattern"]["Regex"]), steps
 
 
 class WordTransducer:
