@@ -9,42 +9,71 @@ from shelfmark.operators import ledger, merge, review
 from shelfmark.sources import known_repos
 from shelfmark.sources.index_store import conform
 
-_TIMES = ["last_checked_at", "first_found_at", "created_at", "updated_at"]
+_TYPES = {f.name: f.dataType.simpleString() for f in schemas.INDEX.fields}
+# what the previous snapshot has; its other columns are NULL
+_OLD = {"name", "skill_sha", "skill_etag", "skill_api_url", "stars", "status", "risk_level", "last_checked_at", "first_found_at"}
+# what an upsert takes from its batch
+_WRITTEN = [c for c in schemas.RECORD_COLUMNS if c not in (*schemas.KEY, "first_found_at")]
+
+
+def _given(name: str) -> str:
+    """A value of the batch, in the SQL of either engine; lists as text."""
+    fixed = {"skill_sha": "sha", "stars": "CAST(size % 300 AS INT)", "status": "'pending'", "risk_level": "'medium'", "last_checked_at": f"CAST('{q.AS_OF}' AS TIMESTAMP)"}
+    if name in fixed:
+        return fixed[name]
+    place = schemas.INDEX.names.index(name)
+    if _TYPES[name] in ("int", "smallint"):
+        return f"CAST((doc_id + {place}) % {2 if _TYPES[name] == 'smallint' else 97} AS INT)"
+    if _TYPES[name] == "timestamp":
+        return f"CAST(DATE '2024-01-01' + CAST((doc_id + {place}) % 40 AS INT) AS TIMESTAMP)"
+    return f"'{name},' || CAST(doc_id AS STRING)"
 
 
 def _shown(index):
-    return index.select(
-        "id", "repo_full_name", "skill_path", "skill_sha", "stars", "status", "risk_level", *[text_time(t) for t in _TIMES]
-    )
+    """Every column of the index."""
+    def column(name):
+        kind = _TYPES[name]
+        return {"timestamp": text_time(name), "smallint": F.col(name).cast("int").alias(name), "array<string>": F.array_join(name, ",").alias(name)}.get(kind, F.col(name))
+
+    return index.select(*[column(c) for c in index.columns])
 
 
 _NEW_ID = """(SELECT max(id) FROM skill_index) + row_number() OVER (PARTITION BY x.id IS NULL
     ORDER BY substr(md5(b.repo_full_name || '/' || b.skill_path), 1, 3), b.repo_full_name, b.skill_path)"""
 
 
-def _upsert_sql(status: str) -> str:
-    return f"""WITH b AS (SELECT repo_full_name, skill_path, sha AS skill_sha, CAST(size % 300 AS INT) AS stars, 'pending' AS status, 'medium' AS risk_level FROM skill_files)
-SELECT CASE WHEN x.id IS NULL THEN {_NEW_ID} ELSE x.id END AS id, coalesce(b.repo_full_name, x.repo_full_name) AS repo_full_name,
-  coalesce(b.skill_path, x.skill_path) AS skill_path, CASE WHEN b.skill_path IS NULL THEN x.skill_sha ELSE b.skill_sha END AS skill_sha,
-  CASE WHEN b.skill_path IS NULL THEN x.stars ELSE b.stars END AS stars, {status} AS status,
-  CASE WHEN b.skill_path IS NULL THEN x.risk_level ELSE b.risk_level END AS risk_level,
-  CASE WHEN b.skill_path IS NULL THEN {q.ts('x.last_checked_at')} ELSE '{q.AS_OF}' END AS last_checked_at,
+def _same(a: str, b: str) -> str:
+    return " AND ".join(f"{a}.{k} = {b}.{k}" for k in schemas.KEY)
+
+
+def _upsert_sql(status: str, batch_keys: str = "repo_full_name, skill_path", same: str = _same("x", "b")) -> str:
+    def after(name):
+        old = f"x.{name}" if name in _OLD else "NULL"
+        new = f"b.{name}"
+        if _TYPES[name] == "timestamp":
+            old, new = q.ts(old) if name in _OLD else "NULL", q.ts(new)
+        return status if name == "status" else f"CASE WHEN b.skill_path IS NULL THEN {old} ELSE {new} END"
+
+    given = ", ".join(f"{_given(c)} AS {c}" for c in _WRITTEN)
+    return f"""WITH b AS (SELECT {batch_keys}, {given} FROM skill_files)
+SELECT CASE WHEN x.id IS NULL THEN {_NEW_ID} ELSE x.id END AS id, coalesce(x.repo_full_name, b.repo_full_name) AS repo_full_name,
+  coalesce(x.skill_path, b.skill_path) AS skill_path, {", ".join(f"{after(c)} AS {c}" for c in _WRITTEN)},
   CASE WHEN x.id IS NULL THEN '{q.AS_OF}' ELSE {q.ts('x.first_found_at')} END AS first_found_at,
   CASE WHEN x.id IS NULL THEN '{q.AS_OF}' ELSE {q.ts('x.created_at')} END AS created_at,
   CASE WHEN b.skill_path IS NULL THEN {q.ts('x.updated_at')} ELSE '{q.AS_OF}' END AS updated_at
-FROM skill_index x FULL JOIN b ON x.repo_full_name = b.repo_full_name AND x.skill_path = b.skill_path"""
+FROM skill_index x FULL JOIN b ON {same}"""
 
 
-def _batch(i):
-    return i.skill_files.select(
-        *schemas.KEY, F.col("sha").alias("skill_sha"), (F.col("size") % 300).cast("int").alias("stars"), F.lit("pending").alias("status"),
-        F.lit("medium").alias("risk_level"), as_of().alias("first_found_at"), as_of().alias("last_checked_at"),
-    )
+def _batch(files):
+    def column(name):
+        return F.split(F.expr(_given(name)), ",") if _TYPES[name].startswith("array") else F.expr(_given(name)).cast(_TYPES[name])
+
+    return files.select(*schemas.KEY, as_of().alias("first_found_at"), *[column(c).alias(c) for c in _WRITTEN])
 
 
 @query("m1_upsert", _upsert_sql("CASE WHEN b.skill_path IS NULL THEN x.status ELSE b.status END"))
 def _(i):
-    return _shown(merge.upsert(conform(i.skill_index), _batch(i), as_of()))
+    return _shown(merge.upsert(conform(i.skill_index), _batch(i.skill_files), as_of()))
 
 
 @query(
@@ -52,7 +81,36 @@ def _(i):
     _upsert_sql("CASE WHEN b.skill_path IS NULL OR x.status IN ('approved', 'rejected', 'risky') THEN x.status ELSE b.status END"),
 )
 def _(i):
-    return _shown(merge.upsert(conform(i.skill_index), _batch(i), as_of(), preserve_review=True))
+    return _shown(merge.upsert(conform(i.skill_index), _batch(i.skill_files), as_of(), preserve_review=True))
+
+
+# ---------------------------------------------------------------- keys under a collation
+# the same keys in capitals, with accents, with spaces behind them, and as they are
+_RESPELLED = """CASE doc_id % 4 WHEN 0 THEN upper(repo_full_name) WHEN 1 THEN replace(repo_full_name, 'o', 'ö') WHEN 2 THEN repo_full_name || '  ' ELSE repo_full_name END AS repo_full_name,
+  CASE doc_id % 3 WHEN 0 THEN skill_path || ' ' WHEN 1 THEN replace(lower(skill_path), 'e', 'é') ELSE skill_path END AS skill_path"""
+
+
+_SAME_COLLATED = " AND ".join(f"{q.collated(f'x.{k}')} = {q.collated(f'b.{k}')}" for k in schemas.KEY)
+
+
+def _respelled(i):
+    return i.skill_files.selectExpr("doc_id", "sha", "size", *_RESPELLED.split(",\n"))
+
+
+@query("d9_upsert_collated", _upsert_sql("CASE WHEN b.skill_path IS NULL THEN x.status ELSE b.status END", _RESPELLED, _SAME_COLLATED))
+def _(i):
+    return _shown(merge.upsert(conform(i.skill_index), _batch(_respelled(i)), as_of(), collation=q.COLLATION))
+
+
+@query(
+    "d9_changes_collated",
+    f"""WITH b AS (SELECT {_RESPELLED}, sha FROM skill_files)
+SELECT coalesce(x.repo_full_name, b.repo_full_name) AS repo_full_name, coalesce(x.skill_path, b.skill_path) AS skill_path,
+  CASE WHEN x.id IS NULL THEN 'new' WHEN b.skill_path IS NULL THEN 'gone' WHEN x.skill_sha = b.sha THEN 'unchanged' ELSE 'modified' END AS change
+FROM skill_index x FULL JOIN b ON {_SAME_COLLATED}""",
+)
+def _(i):
+    return merge.change_classes(i.skill_index, _respelled(i).withColumnRenamed("sha", "skill_sha"), validator="skill_sha", collation=q.COLLATION)
 
 
 # every document asks for the row twice its number, so that half of the ids are unknown

@@ -84,11 +84,11 @@ def repo_responses(inputs: Inputs) -> DataFrame:
 
 @_landed
 def tree_responses(inputs: Inputs) -> DataFrame:
-    """One response per repository subtree (the part below one directory)."""
+    """One response per repository subtree (the part below one directory); a tenth are marked as truncated."""
     folder = F.regexp_extract("path", r"\A(skills/[^/]+)", 1)
-    entry = F.struct("path", "type")
+    entry, cut = F.struct("path", "type"), F.col("folder").endswith("7")
     grouped = inputs.tree_items.groupBy("repo_full_name", folder.alias("folder")).agg(F.collect_list(entry).alias("tree"))
-    return grouped.select("repo_full_name", F.lit(200).alias("status_code"), F.to_json(F.struct("tree")).alias("payload"))
+    return grouped.select("repo_full_name", F.lit(200).alias("status_code"), F.to_json(F.struct("tree", cut.alias("truncated"))).alias("payload"))
 
 
 @_landed

@@ -67,6 +67,14 @@ def _(i):
     return landing.tree_items(landed.tree_responses(i)).select("repo_full_name", "path", "type")
 
 
+@query(
+    "s4_trees_read",
+    r"""SELECT repo_full_name, CAST(bool_or(suffix(regexp_extract(path, '\A(skills/[^/]+)', 1), '7')) AS INT) AS truncated FROM tree_items GROUP BY repo_full_name""",
+)
+def _(i):
+    return landing.trees_read(landed.tree_responses(i)).select("repo_full_name", *bits("truncated"))
+
+
 @query("s5_listing_items", "SELECT repo_full_name, dir, name, type FROM listing_items WHERE doc_id % 19 <> 0")
 def _(i):
     return landing.listing_items(landed.listing_responses(i))

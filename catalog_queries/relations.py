@@ -238,6 +238,21 @@ def _(i):
     return firsts.select("hit_key", "query_idx", "page", "pos", "repo_full_name", "skill_path", "n_seen")
 
 
+_SPELLED = "CASE query_idx % 3 WHEN 0 THEN upper(hit_key) WHEN 1 THEN hit_key || ' ' ELSE replace(hit_key, 'o', 'ö') END"
+
+
+@query(
+    "d9_first_seen_collated",
+    f"""WITH {FIRSTS}, spelled AS (SELECT query_idx, page, pos, {_SPELLED} AS hit_key FROM firsts)
+SELECT hit_key, query_idx, page, pos, count(*) OVER (PARTITION BY {q.collated('hit_key')}) AS n_seen FROM spelled
+QUALIFY row_number() OVER (PARTITION BY {q.collated('hit_key')} ORDER BY query_idx, page, pos) = 1""",
+)
+def _(i):
+    hits = i.search_hits.filter(dedup.has_required_fields())
+    firsts = dedup.first_seen(hits, F.expr(_SPELLED.replace("hit_key", "coalesce(nullif(html_url, ''), repo_full_name || '/' || skill_path)")), collation=q.COLLATION)
+    return firsts.select("hit_key", "query_idx", "page", "pos", "n_seen")
+
+
 @query(
     "w1_mark_first_seen",
     f"WITH {FIRSTS} SELECT query_idx, page, pos, hit_key, CASE WHEN rn = 1 THEN 'found' ELSE 'skipped' END AS disposition FROM firsts",

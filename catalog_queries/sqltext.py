@@ -12,6 +12,14 @@ def ts(column: str) -> str:
     return f"strftime({column}, '%Y-%m-%d %H:%M:%S')"
 
 
+COLLATION = "UNICODE_CI_AI_RTRIM"
+
+
+def collated(key: str) -> str:
+    """The collation in plain SQL, for letters of the Latin alphabet."""
+    return f"lower(strip_accents(rtrim({key})))"
+
+
 def block(c: str) -> str:
     return rf"nullif(regexp_extract({c}, '(?s)\A---{WS}*\n(.*?)\n---{WS}*\n', 1), '')"
 

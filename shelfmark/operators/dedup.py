@@ -28,15 +28,29 @@ def hit_key() -> Column:
     return F.coalesce(blank_to_null(F.col("html_url")), F.concat_ws("/", "repo_full_name", "skill_path"))
 
 
-def first_seen(hits: DataFrame, key: Column | None = None, arrival: list[str] = ARRIVAL) -> DataFrame:
-    """The first hit of every key, with ``n_seen`` hits of that key in all."""
-    keyed = hits.withColumn("hit_key", hit_key() if key is None else key)
-    payload = F.struct(*[c for c in hits.columns if c not in arrival])
-    best = keyed.groupBy("hit_key").agg(
+def compared(df: DataFrame, keys: list[str], collation: str | None = None) -> tuple[DataFrame, list[str]]:
+    """``df`` and the columns by which its keys compare: the keys, or copies of them under a collation.
+
+    The keys keep their bytes, so a copy decides what is equal and never what is shown or stored.
+    """
+    if collation is None:
+        return df, keys
+    copies = {f"_as_{k}": F.collate(F.col(k), collation) for k in keys}
+    return df.withColumns(copies), list(copies)
+
+
+def first_seen(hits: DataFrame, key: Column | None = None, arrival: list[str] = ARRIVAL, collation: str | None = None) -> DataFrame:
+    """The first hit of every key, with ``n_seen`` hits of that key in all.
+
+    Under a ``collation`` keys that compare equal are one, spelled as the first hit spells it.
+    """
+    keyed, by = compared(hits.withColumn("hit_key", hit_key() if key is None else key), ["hit_key"], collation)
+    payload = F.struct("hit_key", *[c for c in hits.columns if c not in arrival and c != "hit_key"])
+    best = keyed.groupBy(*by).agg(
         F.min_by(F.struct(F.struct(*arrival).alias("at"), payload.alias("row")), F.struct(*arrival)).alias("first"),
         F.count("*").alias("n_seen"),
     )
-    return best.select("hit_key", "n_seen", "first.at.*", "first.row.*")
+    return best.select("first.row.hit_key", "n_seen", "first.at.*", *[F.col(f"first.row.{c}") for c in hits.columns if c not in arrival and c != "hit_key"])
 
 
 def mark_first_seen(hits: DataFrame, key: Column | None = None, arrival: list[str] = ARRIVAL) -> DataFrame:

@@ -38,6 +38,7 @@ def upsert(
     update_columns: list[str] | None = None,
     preserve_review: bool = False,
     buckets: int | None = None,
+    collation: str | None = None,
 ) -> DataFrame:
     """Insert new keys and update known ones; of batch rows with one key the largest counts.
 
@@ -52,14 +53,20 @@ def upsert(
     and otherwise only the two key columns of the index are shuffled a second time.
     With ``buckets``, new rows are put together by key, as the rows of a bucketed
     index already are, so that the result can be written without another shuffle.
+
+    Keys compare by bytes, or under a ``collation`` such as ``UNICODE_CI_AI_RTRIM``; a known row
+    then keeps the spelling of the index.  Buckets go by bytes, so collated joins shuffle.
     """
-    batch = dedup.one_row_per(batch, KEY)
+    columns = index.columns
+    batch, on = dedup.compared(batch, KEY, collation)
+    index, _ = dedup.compared(index, KEY, collation)
+    batch = dedup.one_row_per(batch, on)
     fixed = {*KEY, "first_found_at", "id", "created_at", "updated_at"}
-    updatable = [c for c in batch.columns if c in index.columns and c not in fixed]
+    updatable = [c for c in batch.columns if c in columns and c not in fixed]
     if update_columns is not None:
         updatable = [c for c in updatable if c in update_columns]
 
-    incoming = batch.select(*KEY, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in updatable])
+    incoming = batch.select(*on, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in updatable])
     hit = F.col("_hit")
 
     def updated(name: str) -> Column:
@@ -72,31 +79,36 @@ def upsert(
             take = hit & ~F.coalesce(F.col("status").isin(REVIEWED_STATUSES), F.lit(False))
         return F.when(take, F.col(f"_new_{name}")).otherwise(F.col(name)).alias(name)
 
-    kept = index.join(incoming, KEY, "left").select(*[updated(c) for c in index.columns])
+    kept = index.join(incoming, on, "left").select(*[updated(c) for c in columns])
 
-    known = index.select(*KEY).join(batch.select(*KEY), KEY, "left_semi")
-    fresh = batch.join(known, KEY, "left_anti")
+    known = index.select(*on).join(batch.select(*on), on, "left_semi")
+    fresh = batch.join(known, on, "left_anti")
     stamped = assign_ids(fresh, index.agg(F.max("id")).scalar())
     for name in ("created_at", "updated_at"):
-        if name in index.columns:
+        if name in columns:
             stamped = stamped.withColumn(name, as_of)
     have = set(stamped.columns)
     new = stamped.select(
-        *[(F.col(c) if c in have else F.lit(None)).cast(index.schema[c].dataType).alias(c) for c in index.columns]
+        *[(F.col(c) if c in have else F.lit(None)).cast(index.schema[c].dataType).alias(c) for c in columns]
     )
     return kept.unionByName(new.repartition(buckets, *KEY) if buckets else new)
 
 
-def change_classes(index: DataFrame, current: DataFrame, validator: str = "skill_etag", fallback: str = "skill_sha") -> DataFrame:
+def change_classes(
+    index: DataFrame, current: DataFrame, validator: str = "skill_etag", fallback: str = "skill_sha", collation: str | None = None
+) -> DataFrame:
     """Every key with unchanged / modified / new / gone, by comparing validators.
 
-    Where either side lacks the validator, the content hashes are compared instead.
+    Where either side lacks the validator, the content hashes are compared instead.  Under a
+    ``collation`` a key that both sides have is spelled as in the index.
     """
 
     def side(df: DataFrame, prefix: str) -> DataFrame:
         second = F.col(fallback) if fallback in df.columns else F.lit(None).cast("string")
         rows = df.select(*KEY, F.col(validator).alias(f"_{prefix}"), second.alias(f"_{prefix}_hash"), F.lit(True).alias(f"_in_{prefix}"))
-        return dedup.one_row_per(rows, KEY)
+        rows, by = dedup.compared(rows, KEY, collation)
+        rows = dedup.one_row_per(rows, by)
+        return rows if collation is None else rows.withColumnsRenamed({k: f"_{prefix}_{k}" for k in KEY})
 
     old, now = side(index, "old"), side(current, "now")
     usable = F.col("_old").isNotNull() & F.col("_now").isNotNull()
@@ -107,15 +119,23 @@ def change_classes(index: DataFrame, current: DataFrame, validator: str = "skill
         .when(same, "unchanged")
         .otherwise("modified")
     )
-    return old.join(now, KEY, "full").select(*KEY, change.alias("change"))
+    if collation is None:
+        return old.join(now, KEY, "full").select(*KEY, change.alias("change"))
+    spelled = [F.coalesce(f"_old_{k}", f"_now_{k}").alias(k) for k in KEY]
+    return old.join(now, [f"_as_{k}" for k in KEY], "full").select(*spelled, change.alias("change"))
 
 
-def new_keys(index: DataFrame, current: DataFrame) -> DataFrame:
-    return current.select(*KEY).distinct().join(index.select(*KEY), KEY, "left_anti")
+def new_keys(index: DataFrame, current: DataFrame, collation: str | None = None) -> DataFrame:
+    """Keys that the index lacks, once each; of equal ones under a ``collation`` the largest by bytes."""
+    keys, by = dedup.compared(current.select(*KEY), KEY, collation)
+    known, _ = dedup.compared(index.select(*KEY), KEY, collation)
+    return dedup.one_row_per(keys, by).join(known.select(*by), by, "left_anti").select(*KEY)
 
 
-def vanished_keys(index: DataFrame, current: DataFrame) -> DataFrame:
-    return index.select(*KEY).join(current.select(*KEY), KEY, "left_anti")
+def vanished_keys(index: DataFrame, current: DataFrame, collation: str | None = None) -> DataFrame:
+    keys, by = dedup.compared(index.select(*KEY), KEY, collation)
+    now, _ = dedup.compared(current.select(*KEY), KEY, collation)
+    return keys.join(now.select(*by), by, "left_anti").select(*KEY)
 
 
 def _stamp(index: DataFrame, hit: Column, as_of: Column, values: dict[str, Column]) -> DataFrame:

@@ -30,6 +30,7 @@ class Run:
     log: EventLog
     run_id: int
     as_of: datetime
+    collation: str | None = None  # how keys compare; by bytes without one
 
     def _event(self, name: str, **fields) -> None:
         self.log.append(ledger.event(self.store.spark, self.run_id, name, self.as_of, **fields))
@@ -62,10 +63,12 @@ class Run:
             rows = dispositions()
             records = saved_records(rows, arrival)
             # a file may be found on several routes; the merge reads its batch several times, and its true size decides how it joins
-            records = stage(dedup.last_wins(records, schemas.KEY, arrival or UNORDERED), "records")
+            keyed, by = dedup.compared(records, schemas.KEY, self.collation)
+            records = stage(dedup.last_wins(keyed, by, arrival or UNORDERED).select(*schemas.RECORD_COLUMNS), "records")
             old, buckets = self.store.read(), self.store.buckets
-            index = merge.upsert(old, records, now, preserve_review=preserve_review, buckets=buckets)
-            self.store.publish(index, self.as_of, batch_id, clustered=self.store.version() > 0)
+            index = merge.upsert(old, records, now, preserve_review=preserve_review, buckets=buckets, collation=self.collation)
+            clustered = self.store.version() > 0 and self.collation is None
+            self.store.publish(index, self.as_of, batch_id, clustered=clustered)
             totals = counters.acquisition_counters(rows).first().asDict()
             return totals, (totals["total_found"], totals["total_saved"], totals["total_skipped"])
 

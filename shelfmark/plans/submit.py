@@ -40,7 +40,8 @@ def resolve(
 ) -> tuple[DataFrame, DataFrame]:
     """Split targets into candidate files and failures.
 
-    ``trees`` names the repositories whose tree could be read (it may be empty);
+    ``trees`` names the repositories whose tree could be read (it may be empty); with a column
+    ``truncated`` each file has ``seen_in_part``, true where it was found in a tree that left entries out;
     the two ``busy`` tell which repositories fill the targets and the trees.
     """
     known = one_row_per(repos.select("repo_full_name", F.col("repo_default_branch").alias("default_branch")), ["repo_full_name"])
@@ -49,18 +50,20 @@ def resolve(
     has_path = F.col("skill_path").isNotNull()
 
     single = checked.filter(exists & has_path & refs.is_manifest_path(F.col("skill_path")))
+    cut = F.col("truncated") if "truncated" in trees.columns else F.lit(False)
     whole = checked.filter(exists & ~has_path).join(
-        trees.select("repo_full_name", F.lit(True).alias("_tree")), "repo_full_name", "left"
+        trees.select("repo_full_name", F.lit(True).alias("_tree"), cut.alias("_cut")), "repo_full_name", "left"
     )
     # one row per repository, so the tree side can be split freely
-    scanned = whole.filter(F.col("_tree")).select("repo_full_name", "default_branch", "n_requests")
+    scanned = whole.filter(F.col("_tree")).select("repo_full_name", "default_branch", "n_requests", F.col("_cut").alias("seen_in_part"))
     blobs = manifest_blobs(tree).select("repo_full_name", F.col("path").alias("skill_path"))
     expanded = lookup_join(blobs, scanned, ["repo_full_name"], ["skill_path"], busy_tree, how="inner")
 
     columns = ["repo_full_name", "skill_path", "default_branch", "n_requests"]
     # a file may be asked for by itself and with its whole repository
-    wanted = single.select(*columns).unionByName(expanded.select(*columns))
-    wanted = wanted.groupBy("repo_full_name", "skill_path", "default_branch").agg(F.sum("n_requests").alias("n_requests"))
+    wanted = single.select(*columns, F.lit(False).alias("seen_in_part")).unionByName(expanded.select(*columns, "seen_in_part"))
+    marks = [F.bool_or("seen_in_part").alias("seen_in_part")] if "truncated" in trees.columns else []
+    wanted = wanted.groupBy("repo_full_name", "skill_path", "default_branch").agg(F.sum("n_requests").alias("n_requests"), *marks)
     files = with_addresses(wanted, SOURCE)
 
     wrong_path = has_path & ~refs.is_manifest_path(F.col("skill_path"))

@@ -117,7 +117,7 @@ REPO_PAYLOAD = struct(
     updated_at=STRING,
     pushed_at=STRING,
 )
-TREE_PAYLOAD = struct(tree=T.ArrayType(struct(path=STRING, type=STRING, sha=STRING, size=LONG)))
+TREE_PAYLOAD = struct(tree=T.ArrayType(struct(path=STRING, type=STRING, sha=STRING, size=LONG)), truncated=BOOL)
 LISTING_PAYLOAD = T.ArrayType(struct(name=STRING, type=STRING))
 
 # --- landing rows: which request a response answers, its status, headers and raw body ---

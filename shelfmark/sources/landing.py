@@ -125,6 +125,12 @@ def tree_items(responses: DataFrame) -> DataFrame:
     return responses.filter(_ok()).select("repo_full_name", F.inline(tree))
 
 
+def trees_read(responses: DataFrame) -> DataFrame:
+    """One row per repository whose tree was read: ``truncated`` says that an answer left entries out."""
+    cut = F.coalesce(F.from_json("payload", schemas.TREE_PAYLOAD).getField("truncated"), F.lit(False))
+    return responses.filter(_ok()).groupBy("repo_full_name").agg(F.bool_or(cut).alias("truncated"))
+
+
 def listing_items(responses: DataFrame) -> DataFrame:
     """One row per entry of a directory listing; a body that is not an array gives none."""
     # from_json would wrap a lone object into a one-element array

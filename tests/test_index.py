@@ -276,3 +276,38 @@ def test_changes_of_a_store_with_another_key(spark, shared):
     store.publish(index_store.conform(spark.createDataFrame([("a/a",), ("b/b",)], "repo_full_name string"), schemas.KNOWN_REPOS), T0)
     store.publish_changes(index_store.conform(spark.createDataFrame([("b/b", "x")], "repo_full_name string, source_level string"), schemas.KNOWN_REPOS), T1)
     assert {r.repo_full_name: r.source_level for r in store.read().collect()} == {"a/a": None, "b/b": "x"}
+
+
+def test_keys_compare_under_a_collation(spark):
+    ci = "UNICODE_CI_AI_RTRIM"
+    rows = [("A/A", "p1", 50, "pending"), ("a/á", "P1 ", 60, "pending"), ("B/b ", "p1", 8, "pending"), ("c/c", "x", 1, "pending"), ("C/C", "x", 1, "pending"), (None, "p1", 4, "pending")]
+    batch = spark.createDataFrame(rows, "repo_full_name string, skill_path string, stars int, status string")
+    after = merge.upsert(index(spark), batch, F.lit(T1), collation=ci)
+    got = state(after, "id", "stars")
+    # known rows keep their spelling; of equal new keys the largest row counts; a NULL key equals none
+    assert got == {("a/a", "p1"): (1, 60), ("a/a", "p2"): (2, 6), ("b/b", "p1"): (7, 8), ("c/c", "x"): (got["c/c", "x"][0], 1), (None, "p1"): (got[None, "p1"][0], 4)}
+    assert after.schema == index(spark).schema
+    assert merge.upsert(index(spark), batch, F.lit(T1)).count() == 9
+    now = batch.withColumns({"skill_etag": F.lit(None).cast("string"), "skill_sha": F.lit("s")}).filter("repo_full_name IS NOT NULL")
+    changes = {(r.repo_full_name, r.skill_path): r.change for r in merge.change_classes(index(spark), now, collation=ci).collect()}
+    assert changes == {("a/a", "p1"): "modified", ("a/a", "p2"): "gone", ("b/b", "p1"): "modified", ("c/c", "x"): "new"}
+    assert merge.new_keys(index(spark), now, ci).count() == 1
+    assert [tuple(r) for r in merge.vanished_keys(index(spark), now, ci).collect()] == [("a/a", "p2")]
+    none = now.limit(0)
+    assert merge.upsert(index(spark), batch.limit(0), F.lit(T1), collation=ci).count() == 3
+    assert merge.new_keys(index(spark), none, ci).count() == 0
+
+
+def test_collated_keys_are_hashed_not_looped(spark):
+    plan = merge.upsert(index(spark), batch(spark), F.lit(T1), collation="UNICODE_CI_AI_RTRIM")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_first_seen_under_a_collation(spark):
+    from shelfmark.operators import dedup
+
+    rows = [(1, 0, 0, "o/a", "x", "HTTP://A"), (0, 0, 0, "o/a", "x", "http://á "), (0, 1, 0, "o/b", "y", None), (2, 0, 0, "O/B", "Y", "")]
+    hits = spark.createDataFrame(rows, "query_idx int, page int, pos int, repo_full_name string, skill_path string, html_url string")
+    got = {r.hit_key: (r.n_seen, r.query_idx) for r in dedup.first_seen(hits, collation="UNICODE_CI_AI_RTRIM").collect()}
+    assert got == {"http://á ": (2, 0), "o/b/y": (2, 0)}
+    assert dedup.first_seen(hits).count() == 4

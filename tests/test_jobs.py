@@ -306,3 +306,39 @@ def test_folded_batches_are_removed(spark, world, shared):
     assert version == 1 and not list(Path(pending.path).rglob("*.parquet"))
     pending.add(found.limit(2), 1)  # replayed after the fold: it counts no more
     assert pending.fold(NOW) == 1 and store.read().count() == found.count()
+
+
+def test_truncated_trees_are_told(spark, world):
+    def answer(repo, status, **body):
+        return (repo, status, json.dumps(body))
+
+    blob = [{"path": "z/SKILL.md", "type": "blob"}]
+    answers = [answer("o/a", 200, tree=[], truncated=False), answer("o/a", 200, tree=blob, truncated=True), answer("o/b", 200, tree=blob), answer("o/e", 404, truncated=True), ("o/f", 200, "not json")]
+    trees = landing.trees_read(spark.createDataFrame(answers, "repo_full_name string, status_code int, payload string"))
+    assert {r.repo_full_name: r.truncated for r in trees.collect()} == {"o/a": True, "o/b": False, "o/f": False}
+
+    scope = spark.createDataFrame([("o/a",), ("o/b",), ("o/c",), ("o/a",)], "repo_full_name string")
+    got = {r.repo_full_name: (r.seen, r.n_files) for r in scan.scan_coverage(world["tree"], scope, world["repos"], trees).collect()}
+    assert got == {"o/a": ("in part", 3), "o/b": ("whole", 2), "o/c": ("no statistics", 1)}
+    assert {r.seen for r in scan.scan_coverage(world["tree"], scope, world["repos"], trees.limit(0)).collect()} == {"no tree", "no statistics"}
+
+    args = [world[k] for k in ("contents", "repos", "layout", "as_of")]
+    files = scan.scan_dispositions(world["tree"], scope, *args, trees=trees)
+    assert {(r.repo_full_name, r.seen_in_part) for r in files.collect()} == {("o/a", True), ("o/b", False)}
+    assert totals(files) == totals(scan.scan_dispositions(world["tree"], scope, *args))
+
+    asked = spark.createDataFrame([("o/a",), ("https://github.com/o/b/blob/other/w/SKILL.md",)], "url string")
+    files = submit.submit_dispositions(asked, world["tree"], *args, trees=trees)
+    assert {(r.repo_full_name, r.seen_in_part) for r in files.collect()} == {("o/a", True), ("o/b", False)}
+
+
+def test_a_run_under_a_collation_knows_respelled_keys(spark, world, shared):
+    store = index_store.IndexStore(spark, f"{shared}/collated", buckets=2)
+    run = jobs.Run(store, index_store.EventLog(spark, f"{shared}/collated-runs"), 1, NOW, collation="UNICODE_CI_AI_RTRIM")
+    args = [world[k] for k in ("contents", "repos", "layout", "as_of")]
+    scope = spark.createDataFrame([("o/a",), ("o/b",)], "repo_full_name string")
+    run.acquire("repo_tree", "first", lambda: scan.scan_dispositions(world["tree"], scope, *args))
+    before = {(r.id, r.repo_full_name, r.skill_path) for r in store.read().collect()}
+    spelled = lambda: scan.scan_dispositions(world["tree"], scope, *args).withColumns({"repo_full_name": F.upper("repo_full_name"), "skill_path": F.concat("skill_path", F.lit(" "))})
+    run.acquire("repo_tree", "second", spelled)
+    assert before and {(r.id, r.repo_full_name, r.skill_path) for r in store.read().collect()} == before
