@@ -229,8 +229,13 @@ def _class(ranges: Iterable[tuple[int, int]]) -> str:
     return "[" + "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in ranges) + "]"
 
 
-_LATER_SIGN = regex.compile(_class(_LATER_LETTERS + _LATER_NUMBERS))
-_LATER_MARK = regex.compile("(" + _class(_LATER_MARKS) + ")")
+def _characters(ranges: Iterable[tuple[int, int]]) -> frozenset[str]:
+    return frozenset(chr(c) for a, b in ranges for c in range(a, b + 1))
+
+
+_SIGNS, _MARKS = _characters(_LATER_LETTERS + _LATER_NUMBERS), _characters(_LATER_MARKS)
+_MARK = regex.compile("(" + _class(_LATER_MARKS) + ")")
+_CAPITALS = _characters((a, b) for a, b, _ in _LATER_CAPITALS)
 _SMALL = {c: small + c - a for a, b, small in _LATER_CAPITALS for c in range(a, b + 1)}
 
 
@@ -249,14 +254,16 @@ class _Chunks(dict):
 def _lower(text: str) -> str:
     """Lower case, a character at a time: no final sigma."""
     low = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
-    return low if low.isascii() else low.translate(_SMALL)
+    return low if low.isascii() or _CAPITALS.isdisjoint(low) else low.translate(_SMALL)
 
 
 def _nfc(text: str) -> str:
     if text.isascii():
         return text
+    if _MARKS.isdisjoint(text):
+        return unicodedata.normalize("NFC", text)
     # what lies between two characters that neither move nor compose is normalised by itself
-    return "".join(p if k % 2 else unicodedata.normalize("NFC", p) for k, p in enumerate(_LATER_MARK.split(text)))
+    return "".join(p if k % 2 else unicodedata.normalize("NFC", p) for k, p in enumerate(_MARK.split(text)))
 
 
 def _word_finder(pattern: str):
@@ -265,7 +272,7 @@ def _word_finder(pattern: str):
     for name, later in (("L", _LATER_LETTERS), ("N", _LATER_NUMBERS)):
         pattern = pattern.replace(rf"\p{{{name}}}", rf"[\p{{{name}}}--{_class(later)}]")
     exact = regex.compile(pattern, regex.V1)
-    return lambda text: (plain if text.isascii() or not _LATER_SIGN.search(text) else exact).findall(text)
+    return lambda text: (plain if text.isascii() or _SIGNS.isdisjoint(text) else exact).findall(text)
 
 
 def _reader(spec: dict):
