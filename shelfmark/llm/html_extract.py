@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from shelfmark.llm.common import per_text
 
 # Elements by what they do to text.
-RAW = frozenset("script style noscript template iframe object svg math canvas textarea title head".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr picture source".split())
+RAW = frozenset("script style iframe textarea title head".split())
+DROPPED = frozenset("svg object canvas noscript template annotation annotation-xml".split())
+INLINE = frozenset("math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr picture source".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
@@ -40,6 +41,8 @@ CONTENT_CUES = ("article", "content", "entry", "main", "post", "story", "text",
 TEXT_CUES = ("©", "cookie", "subscribe", "newsletter", "sign up", "log in", "all rights reserved", "read more", "share", "advertisement", "privacy", "terms", "reply", "sponsored", "|", "·")
 
 _TAG = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>|<[!?/][^>]*>", re.DOTALL)
+_BLOCK = re.compile(rf"<(?:{'|'.join(sorted(CLOSES_P | {'li', 'dd', 'dt', 'tr', 'td', 'th', 'body'}))})(?=[\s/>])", re.IGNORECASE)
+_NOT_DRAWN = re.compile(r"<foreignobject\b", re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _NAME_WORD = re.compile(r"[a-z]+")
 
@@ -117,9 +120,42 @@ class _Reader:
             del self.stack[k:], self.path[k:]
 
 
+class _Ends:
+    """Where elements end whose content is passed over."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.next: dict[str, tuple[int, int]] = {}  # the nearest end tag looked up; none: the page's length
+
+    def tag(self, name: str, at: int) -> tuple[int, int]:
+        """The next end tag: where it begins and ends."""
+        known = self.next.get(name)
+        if known is None or known[0] < at:
+            m = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(self.page, at)
+            known = self.next[name] = m.span() if m else (len(self.page), len(self.page))
+        return known
+
+    def dropped(self, name: str, at: int) -> int:
+        """The end of a dropped element: its end tag, or the next block without one; a block ends a drawing as well."""
+        start, end = self.tag(name, at)
+        if start < len(self.page) and name != "svg":
+            return end
+        block = _BLOCK.search(self.page, at, start)
+        if block is None:
+            return end
+        if start < len(self.page) and _NOT_DRAWN.search(self.page, at, block.start()):
+            return end
+        return block.start()
+
+
 def read_blocks(page: str | None) -> list[Block]:
-    """Leaf blocks of a page in order, character references decoded."""
+    """Leaf blocks of a page in order, character references decoded.
+
+    Formulas are read as text of their block.  Drawings and what stands in for missing abilities are
+    passed over without splitting it; without an end tag they reach to the next block.
+    """
     page, reader, at = page or "", _Reader(), 0
+    ends = _Ends(page)
     while True:
         m = _TAG.search(page, at)
         if m is None:
@@ -137,12 +173,13 @@ def read_blocks(page: str | None) -> list[Block]:
             reader.in_link = not closing
         elif name in RAW:
             if not closing and not attributes.endswith("/"):
-                end = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(page, at)
-                if end:
-                    at = end.end()
-                elif name != "head":  # a head that never ends is read like the body
-                    at = len(page)
+                start, end = ends.tag(name, at)
+                if start < len(page) or name != "head":  # a head that never ends is read like the body
+                    at = end
                 reader.flush()
+        elif name in DROPPED:
+            if not closing and not attributes.endswith("/"):
+                at = ends.dropped(name, at)
         elif name not in INLINE:
             reader.flush()
             if closing:

@@ -1,4 +1,5 @@
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -23,6 +24,30 @@ def test_odd_pages_do_not_fail(page):
     h.extract(h.Model(), page)
 
 
+@pytest.mark.parametrize(
+    "page, blocks",
+    [
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds</p><p>next</p>", ["so x=2 holds", "next"]),
+        ("<p>an <svg viewBox='0 0 1 1'><text>icon</text><path d='M0'/></svg> here</p>", ["an here"]),
+        ("<p>an <svg><path d='M0'> here<p>kept</p><p>and <svg><g/></svg>this</p>", ["an", "kept", "and this"]),
+        ("<p>a <svg><foreignObject><div>label</div></foreignObject></svg> b</p>", ["a b"]),
+        ("<p>a <noscript><p>turn it on</p></noscript> b</p><p>c</p>", ["a b", "c"]),
+        ("<p>a <canvas>none<p>c</p>", ["a", "c"]),
+        ("<p>a</p><svg>", ["a"]),
+        ("<p>a</p><script>var x = '<p>no</p>'", ["a"]),
+    ],
+)
+def test_formulas_and_drawings(page, blocks):
+    assert [b.text for b in h.read_blocks(page)] == blocks
+
+
+def test_many_elements_without_end_take_linear_time():
+    began = time.perf_counter()
+    assert len(h.read_blocks("<svg><p>word " * 20_000)) == 20_000
+    assert h.read_blocks("<svg> <object> " * 40_000) == []
+    assert time.perf_counter() - began < 5
+
+
 def test_paths_links_and_implied_ends():
     blocks = h.read_blocks("<nav class='top Menu'><ul><li><a href=x>Home</a><li>Two <a>three</a></ul></nav><article><p>x<p>y<div>z</div></article>")
     assert [b.path for b in blocks[:2]] == [("nav top menu", "ul", "li")] * 2
