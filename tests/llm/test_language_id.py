@@ -45,6 +45,13 @@ def test_temperature_undoes_overconfidence():
     assert abs(language_id.fit_temperature(5 * truth, y) - 5) < 0.8
 
 
+def test_no_errors_give_no_certainty():
+    y = np.arange(40) % 4
+    t = language_id.fit_temperature(10 * np.eye(4)[y], y)
+    p = np.exp(10 / t) / (np.exp(10 / t) + 3)
+    assert abs(p - 41 / 44) < 0.005
+
+
 def test_held_out_accuracy_and_folds(spark):
     documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = language_id.identify(documents, settings=SMALL).join(documents.select("doc_id", "lang"), "doc_id").collect()
