@@ -6,7 +6,8 @@ overlap; the rest of that stays a candidate.  The forest looks at its length, it
 dictionary words cover it, the path it stands in and the words next to it.  It is trained in
 numpy on labelled findings: either given ones or, as in the query, findings planted in a
 bounded sample of the corpus, where the label is known because the value was made.  Words and
-letter transitions are counted over all documents.  A candidate longer than ``_WINDOW`` is read
+letter transitions are counted over all documents; the words that occur twice, every one of them,
+are kept in a bitmap of at most 32 MB (see ``bitmaps``).  A candidate longer than ``_WINDOW`` is read
 in overlapping windows and has the score of its best one.
 
 Defined results: NULL or empty text has no candidate; repeated rows are scored alike; over an
@@ -28,14 +29,16 @@ import uuid
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.llm.bitmaps import MOST_WORD_BITS, WordSet, word_set
 from shelfmark.llm.common import free_name, per_text, texts_of
+from shelfmark.session import stage, staging
 
 SECRET = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("score", pa.float64())])
 FOUND = pa.struct([("n_candidates", pa.int64()), ("secrets", pa.list_(SECRET))])
@@ -74,11 +77,13 @@ _PEM = re.compile(
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 _HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _WORDS = re.compile(r"(?<![a-z0-9_])[a-z]{3,}+(?![a-z0-9_])")
+_LETTERS = re.compile(r"[a-z]{3,}")
 _SHORTEST = 6  # characters of a candidate: shorter values, quoted ones as well, are none
 _AROUND = 48
 _WINDOW = 512  # characters of a candidate that per-character features read at a time; its length counts in full
 _STRETCH = 1 << 20  # characters of a text whose letter pairs are counted at a time
 _COUNTED = 100_000  # words that a task holds before it hands its counts on
+_PLANTED = 20_000  # words that look-alikes are made of, chosen by hash
 
 
 @dataclass(frozen=True)
@@ -217,7 +222,8 @@ class Lexicon:
     """What ordinary text looks like: letter transitions and words that occur twice."""
 
     transitions: np.ndarray  # 27 x 27 log probabilities
-    words: frozenset[str]
+    words: WordSet
+    some: tuple[str, ...] = ()  # words that look-alikes are made of
 
     @classmethod
     def of(cls, texts: list[str]) -> Lexicon:
@@ -225,11 +231,14 @@ class Lexicon:
         for text in texts:
             pairs += _letter_pairs(text)
             words.update(_WORDS.findall(text.lower()))
-        return cls.from_counts(pairs, (w for w, n in words.items() if n >= 2))
+        return cls(_log_shares(pairs), WordSet.of(w for w, n in words.items() if n >= 2))
 
     @classmethod
-    def over(cls, documents: DataFrame) -> Lexicon:
-        """From all documents: counts of each task, added by Spark.  Words that occur twice come to the driver."""
+    def over(cls, documents: DataFrame, most_bits: int = MOST_WORD_BITS) -> Lexicon:
+        """From all documents: counts of each task, added by Spark.
+
+        The letter pairs, a bitmap of at most ``most_bits`` bits and ``_PLANTED`` words come to the driver.
+        """
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pairs, words = np.zeros(27 * 27, dtype=np.int64), Counter()
@@ -247,34 +256,36 @@ class Lexicon:
 
         rows = documents.filter("text IS NOT NULL").select("text").mapInArrow(count, "word string, n long")
         total = rows.groupBy("word").agg(F.sum("n").alias("n")).filter((F.col("n") >= 2) | F.col("word").rlike("^[0-9]"))
-        pairs, words = np.zeros(27 * 27, dtype=np.int64), []
-        for batch in total.toArrow().to_batches():
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if word[0].isdigit():
-                    pairs[int(word)] = n
-                else:
-                    words.append(word)
-        return cls.from_counts(pairs, words)
-
-    @classmethod
-    def from_counts(cls, pairs: np.ndarray, words: Iterable[str]) -> Lexicon:
-        pairs = pairs.reshape(27, 27) + 1.0
-        return cls(np.log(pairs / pairs.sum(axis=1, keepdims=True)), frozenset(words))
+        pairs = np.zeros(27 * 27, dtype=np.int64)
+        with staging(documents.sparkSession):
+            total = stage(total, "words")
+            words = total.filter(~F.col("word").rlike("^[0-9]"))
+            for r in total.filter(F.col("word").rlike("^[0-9]")).collect():
+                pairs[int(r["word"])] = r["n"]
+            some = words.select("word").orderBy(F.crc32("word"), "word").limit(_PLANTED).collect()
+            return cls(_log_shares(pairs), word_set(words, F.col("word"), words.count(), most_bits), tuple(r["word"] for r in some))
 
     def coverage(self, value: str) -> float:
         """The share of characters that dictionary words cover, longest first."""
-        low, covered, at = value.lower(), 0, 0
-        while at < len(low):
-            for n in range(min(14, len(low) - at), 2, -1):
-                if low[at : at + n] in self.words:
-                    covered += n
-                    at += n
-                    break
-            else:
-                at += 1
+        low, covered = value.lower(), 0
+        for letters in _LETTERS.finditer(low):
+            at, end = letters.span()
+            while end - at > 2:
+                for n in range(min(14, end - at), 2, -1):
+                    if low[at : at + n] in self.words:
+                        covered += n
+                        at += n
+                        break
+                else:
+                    at += 1
         return covered / max(1, len(low))
 
 
+def _log_shares(pairs: np.ndarray) -> np.ndarray:
+    pairs = pairs.reshape(27, 27) + 1.0
+    return np.log(pairs / pairs.sum(axis=1, keepdims=True))
+
+
 def _letter_codes(text: str) -> np.ndarray:
     codes = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.int64) - 97
     return np.where((codes < 0) | (codes > 25), 26, codes)
@@ -523,7 +534,7 @@ def planted_findings(texts: list[str], settings: Settings = Settings(), words: I
     """
     r = random.Random(settings.seed)
     words = {w for t in texts for w in _WORDS.findall(t.lower())} if words is None else words
-    words = heapq.nsmallest(20_000, words, key=lambda w: (zlib.crc32(w.encode()), w)) or ["alpha", "record", "value", "entry"]
+    words = heapq.nsmallest(_PLANTED, words, key=lambda w: (zlib.crc32(w.encode()), w)) or ["alpha", "record", "value", "entry"]
     paths = (None, None, "src/app/config.yml", "deploy/.env", "tests/test_login.py", "docs/example.md", "src3", "lib/client.js", "vendor/lock.json")
     out = []
     while len(out) < settings.findings:
@@ -603,7 +614,7 @@ class Scanner:
 
 def fit(texts: list[str], findings: list[tuple[str, Candidate, str | None, int]] | None = None, settings: Settings = Settings(), lexicon: Lexicon | None = None) -> Scanner:
     """A scanner from labelled findings (text, candidate, path, label); planted ones in ``texts`` if none are given."""
-    words, lexicon = lexicon and lexicon.words, lexicon or Lexicon.of(texts)
+    words, lexicon = lexicon and lexicon.some, replace(lexicon or Lexicon.of(texts), some=())
     findings = findings or planted_findings(texts, settings, words)
     x = np.array([features(t, c, p, lexicon) for t, c, p, _ in findings])
     return Scanner(grow_forest(x, np.array([y for *_, y in findings], dtype=float), settings), lexicon, settings.threshold)

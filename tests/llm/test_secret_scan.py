@@ -1,6 +1,8 @@
 import base64
+import random
 import re
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -124,8 +126,45 @@ def test_the_lexicon_counts_all_documents(documents, monkeypatch):
     monkeypatch.setattr(s, "_COUNTED", 1)
     known = s.fit_on(docs, s.Settings(contexts=1, findings=200, trees=3))
     plain = s.Lexicon.of([t for t in texts if t])
-    assert known.lexicon.words == plain.words == {"zebra", "common", "zygote"}
+    assert known.lexicon.words.cells == plain.words.cells  # Spark and the plain count set the same bits
+    assert all(w in plain.words for w in ("zebra", "common", "zygote"))
+    assert not any(w in plain.words for w in ("words", "rare", "token", "and", "xxxxx"))
     assert np.allclose(known.lexicon.transitions, plain.transitions)
+    assert s.Lexicon.over(docs).some == tuple(sorted(("zebra", "common", "zygote"), key=lambda w: zlib.crc32(w.encode())))
+
+
+def test_a_bitmap_of_words_holds_every_word_in_bounded_memory(spark):
+    from pyspark.sql import functions as F
+
+    from shelfmark.llm.bitmaps import WordSet, word_set
+
+    made = [f"{a}{b}{c}{d}" for a in "abcdefgh" for b in "abcdefghij" for c in "abcdefghij" for d in "abcde"]
+    rows = spark.createDataFrame([(w,) for w in made], "word string")
+    words = word_set(rows, F.col("word"), len(made))
+    assert words.cells == WordSet.of(made).cells and all(w in words for w in made)
+    others = [w + "z" for w in made] + [w.upper() for w in made]
+    assert sum(w in words for w in others) <= 3 and words.false_share() < 1e-3
+    small = word_set(rows, F.col("word"), len(made), most_bits=1 << 15)  # too small a bound: no word is lost, others are found at the stated share
+    assert len(small.cells) == 1 << 12 and all(w in small for w in made)
+    assert abs(sum(w in small for w in others) / len(others) - small.false_share()) < 0.02
+    assert "any" not in word_set(rows.limit(0), F.col("word"), 0)
+
+
+def test_coverage_is_that_of_a_plain_search():
+    r = random.Random(4)
+    words = {"".join(r.choice("abc") for _ in range(n)) for n in (3, 3, 4, 5, 7, 14) for _ in range(6)}
+    known = s.Lexicon(np.zeros((27, 27)), s.WordSet.of(words))
+
+    def plain(value):
+        low, covered, at = value.lower(), 0, 0
+        while at < len(low):
+            n = next((n for n in range(14, 2, -1) if low[at : at + n] in words and len(low) >= at + n), 0)
+            covered, at = covered + n, at + max(n, 1)
+        return covered / max(1, len(low))
+
+    for _ in range(400):
+        value = "".join(r.choice("abcABC1-é") for _ in range(r.randrange(0, 60)))
+        assert abs(known.coverage(value) - plain(value)) < 1e-12
 
 
 def test_look_alikes_use_words_of_the_whole_alphabet():
