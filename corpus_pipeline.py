@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from shelfmark.llm import bpe, decontaminate, language_id, secret_scan, simhash
 from shelfmark.llm.common import free_name
 from shelfmark.llm.queries import table, word_bpe
-from shelfmark.session import new_shared_path
+from shelfmark.session import new_shared_path, remove
 
 # Below this confidence a language counts as not clear.
 LEAST_CONFIDENCE = 0.35
@@ -63,9 +63,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = new_shared_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:  # nothing reads it any more
+            remove(spark, before)
+        before = path
     return docs
